@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from codestrata.llm.common import WORD, written
 
-#: Bits of the hash that each histogram level uses, from the top.
-LEVEL_BITS = 12
-#: A boundary bucket with no more documents than this is settled by the fold.
-SETTLE_ROWS = 64
-#: Levels of at most 60 bits; documents that still share a bucket have equal hashes and are folded in parts.
-LEVELS = 5
+#: Bits of the hash that each histogram level uses, from the top, and the number of levels: 60 bits in all.
+LEVEL_BITS = 4
+LEVELS = 15
+#: A boundary bucket with no more documents than this is settled by the fold; documents that still share a bucket
+#: after the last level have equal hashes and are folded as one.
+SETTLE_ROWS = 256
 
 
 def word_count(text: Column) -> Column:
@@ -72,7 +72,7 @@ def mix_plan(
     light = written(docs.select(*keys, F.col("source").alias("_s"), word_count(F.col("text")).alias("size"), row_hash(keys).alias("_h")), "light")
 
     # one row per source reaches the driver: the list of sources, not of documents
-    totals = light.groupBy("_s").agg(F.sum("size").alias("size")).collect()
+    totals = light.groupBy("_s").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     totals.sort(key=lambda r: (r["_s"] is None, r["_s"] or ""))  # Python compares code points
     sizes = [r["size"] for r in totals]
     turn = [float(weights[i % len(weights)]) for i in range(len(totals))]
@@ -80,12 +80,12 @@ def mix_plan(
     rows = []
     for r, size, want in zip(totals, sizes, target):
         whole = min(int(want // size), max_repeat) if size else 0
-        rows.append((r["_s"], size, want, whole, int(want - whole * size) if size else 0))
-    plan = spark.createDataFrame(rows, "_s string, source_size long, target double, _whole int, _rest long")
+        rows.append((r["_s"], size, want, whole, int(want - whole * size) if size else 0, r["n"]))
+    plan = spark.createDataFrame(rows, "_s string, source_size long, target double, _whole int, _rest long, _n long")
     plan = written(plan, "plan")
 
     light = light.join(plan, light["_s"].eqNullSafe(plan["_s"]), "inner").drop(plan["_s"])
-    taken_more, _ = _boundary(light, plan)
+    taken_more = _boundary(light, plan)
     extra = F.when(F.col("_h") < F.col("_below"), 1).when(F.coalesce(F.array_contains("_fits", F.col("_h")), F.lit(False)), 1).otherwise(0)
     return (
         light.join(taken_more, light["_s"].eqNullSafe(taken_more["_s"]), "left")
@@ -95,38 +95,32 @@ def mix_plan(
     )
 
 
-def _boundary(light: DataFrame, plan: DataFrame) -> tuple[DataFrame, int]:
+def _boundary(light: DataFrame, plan: DataFrame) -> DataFrame:
     """Per source: `_below`, the hash below which every document is taken once more, and `_fits`, the hashes taken
-    in the boundary bucket. Each level reads only the rows of the boundary bucket of the level before."""
-    open_ = plan.where("_rest > 0").select("_s", F.lit(0).cast("long").alias("_low"), F.col("_rest").alias("_left"))
+    in the boundary bucket. Each level reads only the boundary buckets of the level before that are still too large."""
     rows = light.where("_rest > 0").select("_s", "size", "_h")
+    # at first the boundary bucket is the whole source
+    whole = F.lit(1 << (LEVEL_BITS * LEVELS))
+    state = plan.where("_rest > 0").select("_s", F.lit(0).cast("long").alias("_low"), whole.alias("_span"), F.col("_rest").alias("_left"), "_n")
+    state = written(state, "cut")
     for level in range(LEVELS):
+        large = state.where(F.col("_n") > SETTLE_ROWS)
+        if large.limit(1).count() == 0:
+            break
         shift = LEVEL_BITS * (LEVELS - 1 - level)
-        span = 1 << (shift + LEVEL_BITS)
-        inside = (
-            rows.alias("r")
-            .join(open_.alias("o"), F.col("r._s").eqNullSafe(F.col("o._s")) & (F.col("r._h") >= F.col("o._low")) & (F.col("r._h") < F.col("o._low") + F.lit(span)))
-            .select("r._s", "r.size", "r._h", "o._low", "o._left")
-        )
         bucket = F.shiftright(F.col("_h") - F.col("_low"), shift)
-        sums = inside.groupBy("_s", "_low", "_left", bucket.alias("_b")).agg(F.sum("size").alias("_sum"), F.count("*").alias("_n"))
-        upto = F.sum("_sum").over(Window.partitionBy("_s").orderBy("_b"))  # at most 4,096 rows per source
-        sums = sums.withColumn("_upto", upto)
-        # the first bucket that reaches beyond what is left; without one every document is below
+        sums = _inside(rows, large).groupBy("_s", "_low", "_left", bucket.alias("_b")).agg(F.sum("size").alias("_sum"), F.count("*").alias("_n"))
+        # the first bucket that reaches beyond what is left; a window of at most 16 rows
+        sums = sums.withColumn("_upto", F.sum("_sum").over(Window.partitionBy("_s", "_low").orderBy("_b")))
         cut = (
             sums.where(F.col("_upto") > F.col("_left"))
             .groupBy("_s", "_low", "_left")
             .agg(F.min(F.struct("_b", "_upto", "_sum", "_n")).alias("c"))
-            .select("_s", (F.col("_low") + F.shiftleft(F.col("c._b"), shift)).alias("_low"), (F.col("_left") - F.col("c._upto") + F.col("c._sum")).alias("_left"), F.col("c._n").alias("_n"))
+            .select("_s", (F.col("_low") + F.shiftleft(F.col("c._b"), shift)).alias("_low"), F.lit(1 << shift).alias("_span"), (F.col("_left") - F.col("c._upto") + F.col("c._sum")).alias("_left"), F.col("c._n").alias("_n"))
         )
-        open_ = written(cut, f"cut{level}")
-        if level == LEVELS - 1 or open_.where(F.col("_n") > SETTLE_ROWS).limit(1).count() == 0:
-            break
-    span = 1 << shift
+        state = written(state.where(F.col("_n") <= SETTLE_ROWS).unionByName(cut), "cut")
     last = (
-        rows.alias("r")
-        .join(open_.alias("o"), F.col("r._s").eqNullSafe(F.col("o._s")) & (F.col("r._h") >= F.col("o._low")) & (F.col("r._h") < F.col("o._low") + F.lit(span)))
-        .select("r._s", "r.size", "r._h", "o._low", "o._left")
+        _inside(rows, state)
         .groupBy("_s", "_low", "_left", "_h")
         .agg(F.sum("size").alias("_sum"))  # equal hashes are taken together
         .groupBy("_s", "_low", "_left")
@@ -143,10 +137,14 @@ def _boundary(light: DataFrame, plan: DataFrame) -> tuple[DataFrame, int]:
     last = last.withColumn("_next", nearest)
     near = F.coalesce(F.col("_next._sum") < 2 * F.col("_f.left"), F.lit(False))
     fits = last.select("_s", F.col("_low").alias("_below"), F.when(near, F.concat("_f.fits", F.array("_next._h"))).otherwise(F.col("_f.fits")).alias("_fits"))
-    # sources whose rest takes all documents have no cut
-    none = plan.where("_rest > 0").select("_s").join(fits.select(F.col("_s").alias("_t")), F.col("_s").eqNullSafe(F.col("_t")), "left_anti")
-    everything = none.select("_s", F.lit(1 << 62).cast("long").alias("_below"), F.array().cast("array<long>").alias("_fits"))
-    return written(fits.unionByName(everything), "cut"), level
+    return written(fits, "fits")
+
+
+def _inside(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """The rows whose hash lies in the boundary bucket of their source."""
+    r, o = rows.alias("r"), state.alias("o")
+    cond = F.col("r._s").eqNullSafe(F.col("o._s")) & (F.col("r._h") >= F.col("o._low")) & (F.col("r._h") < F.col("o._low") + F.col("o._span"))
+    return r.join(o, cond).select("r._s", "r.size", "r._h", "o._low", "o._left")
 
 
 def mixed(docs: DataFrame, **params) -> DataFrame:
