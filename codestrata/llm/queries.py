@@ -35,6 +35,12 @@ def op4_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codestrata.llm.ngram_join import components
+
+    return components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codestrata.llm.mixing import mix_plan
 
@@ -42,6 +48,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codestrata.llm.html_extract import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
