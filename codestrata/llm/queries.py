@@ -27,6 +27,15 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from codestrata.llm.line_dedup import deduplicated
+
+    out = deduplicated(table(spark, sf_dir, "documents"), min_sites=8)
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
 def op4_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -41,6 +50,12 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codestrata.llm.pii import found_spans
+
+    return found_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codestrata.llm.mixing import mix_plan
 
@@ -48,6 +63,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codestrata.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codestrata.llm.html_extract import extracted
 
@@ -59,7 +80,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ball_tree": _OP4}
+    return {"op3_line_dedup": _OP3, "op4_ball_tree": _OP4}
+
+
+_OP3 = """
+WITH lines AS (
+  SELECT doc_id, i, line, coalesce('=' || source, '') AS site
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+        FROM documents WHERE text <> '')
+), gone AS (
+  SELECT trim(line, ' ') AS line FROM lines WHERE trim(line, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT site) >= 8
+), kept AS (
+  SELECT l.doc_id, count(*) AS n, count(g.line) AS removed,
+    coalesce(string_agg(l.line, chr(10) ORDER BY i) FILTER (g.line IS NULL), '') AS text
+  FROM lines l LEFT JOIN gone g ON trim(l.line, ' ') = g.line GROUP BY l.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(k.n, 0) AS INTEGER) AS n_lines, CAST(coalesce(k.removed, 0) AS INTEGER) AS n_removed,
+  md5(coalesce(k.text, d.text)) AS text_md5
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
 
 
 _OP4 = """
