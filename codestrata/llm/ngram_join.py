@@ -186,16 +186,15 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, num: int, den: int)
 def _pairs(left: DataFrame, right: DataFrame, order: str, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that share a prefix shingle and can reach the threshold."""
     smaller, larger = F.least("l.n", "r.n"), F.greatest("l.n", "r.n")
-    need = F.ceil((F.col("l.n") + F.col("r.n")) * F.lit(num) / F.lit(num + den))
-    # for the first shingle that a pair shares, what is left of either bounds the overlap
+    cond = (F.col("l.h") == F.col("r.h")) & F.expr(order) & (smaller * den >= larger * num)
+    # for the first shingle that a pair shares, what is left of either set bounds the overlap
     reach = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos"))
-    cond = (F.col("l.h") == F.col("r.h")) & F.expr(order) & (smaller * den >= larger * num) & (reach >= need)
-    met = left.alias("l").join(right.alias("r"), cond).select(F.col("l.rid").alias("a"), F.col("r.rid").alias("b"), F.col("l.n").alias("na"), F.col("r.n").alias("nb"))
-    met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    met = left.alias("l").join(right.alias("r"), cond).select(F.col("l.rid").alias("a"), F.col("r.rid").alias("b"), F.col("l.n").alias("na"), F.col("r.n").alias("nb"), reach.alias("reach"))
+    met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("reach").alias("reach"))
     # beyond the prefix that ends first, at most the rest of that set can be shared
     rest = F.greatest(F.col("na") - _prefix_length(F.col("na"), num, den), F.col("nb") - _prefix_length(F.col("nb"), num, den))
-    # pairs counted by `reach` alone may lose shingles they share, but never the first
-    return met.where(F.col("c") + rest >= F.ceil((F.col("na") + F.col("nb")) * F.lit(num) / F.lit(num + den))).select("a", "b")
+    need = F.ceil((F.col("na") + F.col("nb")) * F.lit(num) / F.lit(num + den))
+    return met.where((F.col("reach") >= need) & (F.col("c") + rest >= need)).select("a", "b")
 
 
 def _verified(sets: DataFrame, families: DataFrame, num: int, den: int) -> DataFrame:
