@@ -75,6 +75,19 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents have no paths, so each gets one from its source and id: a directory tree of two levels below the
+    source, in which every twentieth document is the licence file of an upper directory."""
+    from pyspark.sql import functions as F
+
+    from codestrata.llm.licenses import scan
+
+    upper = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.concat(F.lit("d"), F.floor(F.col("doc_id") / 1000)))
+    lower = F.concat(F.lit("d"), F.floor(F.col("doc_id") / 100))
+    path = F.when(F.col("doc_id") % 20 == 0, F.concat_ws("/", upper, F.concat(F.lit("LICENSE."), "doc_id"))).otherwise(F.concat_ws("/", upper, lower, F.concat("doc_id", F.lit(".txt"))))
+    return scan(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
