@@ -37,6 +37,9 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 NEVER_TAGS = frozenset("head script style title noscript template textarea iframe object svg math canvas audio video select option button datalist".split())
 OUTSIDE_TAGS = frozenset("nav aside footer form menu dialog".split())
 CONTENT_TAGS = frozenset("article main".split())
+#: Elements of running text; where labelled pages lack one it costs UNSEEN_TEXT, any other UNSEEN.
+TEXT_TAGS = frozenset("p br b i em strong u s small sub sup span a abbr cite code pre q mark time blockquote h ul ol li dl dt dd figure figcaption img table tr td th tbody thead".split())
+UNSEEN_TEXT, UNSEEN = -0.3, -1.0
 #: Words of class, id, role and aria-label that mark what is not main text.
 OUTSIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs "
@@ -138,6 +141,11 @@ def _close_open(stack: list[tuple[str, str]], name: str) -> None:
             return
 
 
+def _kind(name: str) -> str:
+    """Headings of all levels are one kind of tag."""
+    return "h" if len(name) == 2 and name[0] == "h" and name[1].isdigit() else name
+
+
 def count(pages: list[str | None]) -> tuple[Counter, int]:
     """Words and tags by place, inside and outside the labelled content, of the pages that label it."""
     seen: Counter = Counter()
@@ -153,7 +161,7 @@ def count(pages: list[str | None]) -> tuple[Counter, int]:
             if kind == "text":
                 seen["word", place, inside] += len(text.split())
             elif kind == "tag":
-                seen["tag", name, inside] += 1
+                seen["tag", _kind(name), inside] += 1
     return seen, used
 
 
@@ -191,7 +199,10 @@ def extract(page: str | None, weight: dict[tuple[str, str], float]) -> str:
             value = weight["word", place] if not labelled or place == "content" else 0.0
             here += value * len(text.split()) if value else 0.0
         elif kind == "tag":
-            here += weight.get(("tag", name), -1.0) if not labelled else min(0.0, weight.get(("tag", name), -1.0)) * 0.01
+            name = _kind(name)
+            cost = weight.get(("tag", name), UNSEEN_TEXT if name in TEXT_TAGS else UNSEEN)
+            # where a page labels its content, tags only part what its words tie
+            here += 0.01 * cost if labelled else cost
         if here <= 0:
             here, start = 0.0, at + 1
         elif here > best:

@@ -27,7 +27,7 @@ BLOCK_LINES = 500_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    line = F.explode(F.transform(F.split("text", "\n", -1), F.trim))
+    line = F.explode(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x)))
     site = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
     return docs.select(site.alias("site"), line.alias("line")).where("line <> ''").select("site", F.xxhash64("line").alias("h"))
 

@@ -169,7 +169,8 @@ def _scorer(machine: bytes):
                 if at:
                     found.update(at)
             rows.append(sorted(found))
-        return (1 / (1 + np.exp(-np.clip(m.logit(rows), -700, 700)))).tolist()
+        with np.errstate(over="ignore"):
+            return (1 / (1 + np.exp(-m.logit(rows)))).tolist()
 
     return score
 
