@@ -2,7 +2,7 @@
 
 Format of a shard `shard-<k>.tok` (little-endian): the frames of its documents, one after another; each frame holds
 the ids as unsigned integers of `id_bytes` bytes. `shard-<k>.idx` is a Parquet file with one row per document, in
-the same order: doc_id, offset and length of the frame in bytes, n_tokens. `dictionary.zst` is the dictionary and
+the same order: doc_id, offset and length of the frame in bytes, n_tokens. `dictionary.bin` is the dictionary and
 `manifest.json` has its SHA-256, id_bytes, end_id, and for each shard its documents, ids and the number of ids
 before it, so one document is read by one seek. A reader refuses a dictionary with another hash.
 
@@ -15,7 +15,6 @@ without shards; repeated rows are written each; further columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import itertools
 import json
@@ -30,26 +29,28 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import map_rows, slices, work_folder
+from codestrata.llm.common import map_rows, per_worker, slices, work_folder
 
 #: The dictionary is trained on about this many documents, chosen by hash; every document is encoded.
 SAMPLE_DOCS = 2_000
 #: Of each sampled document at most this many bytes of ids enter the training of the dictionary.
 SAMPLE_BYTES = 16_384
 DICTIONARY_BYTES = 65_536
+LEVEL = 3
 #: Documents of a shard, about.
 SHARD_DOCS = 50_000
-#: Encoded words that a worker remembers, of each of two kinds.
-MEMO = 600_000
+#: Encoded words that a worker remembers.
+MEMO = 700_000
 
 class Encoder:
     """Texts to their ids as little-endian 32-bit integers, as the tokenizers library encodes the whole text
     without adding special tokens.
 
     Byte-level BPE splits a text before it merges, and always before a single space that follows a
-    character and around a single line feed. A text whose white space is all of that kind is therefore cut there,
-    and each distinct piece goes through the library once and is remembered; pieces that are not remembered go through
-    it together, joined by line feeds. Any other text, or one with a special token in it, goes through the library whole.
+    character, around a single line feed, and between a letter and a mark. A text whose white space is all of that
+    kind is therefore cut there, and each distinct word goes through the library once and is remembered; words that are not
+    remembered go through it together, joined by line feeds. A text with a word that is empty, has other white space in it or
+    a special token goes through the library whole.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -63,8 +64,8 @@ class Encoder:
         self.cuts = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not described.get("normalizer") and len(feed) == 1
         self.feed = feed[0] if self.cuts else None
         self.feed_bytes = np.asarray(feed, dtype="<u4").tobytes()
-        self.memo: dict[str, bytes] = {}  # words after a space, written without it
-        self.heads: dict[str, bytes] = {}  # words at the start of a line
+        self.marks = {m: self.whole(m) for m in ",."}
+        self.memo: dict[str, bytes] = {}  # words after a space, written without it; words after a line feed, with it
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -81,55 +82,56 @@ class Encoder:
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        looked: list[tuple[list[str], list[bytes | None], list[int]] | None] = []
+        looked: list[tuple[list[str], list[bytes | None]] | None] = []
         new: set[str] = set()
         for text in texts:
-            # cut only where each white space is one space or line feed between other characters
-            if not self.cuts or " ".join(text.split()) != text.replace("\n", " ") or any(s in text for s in self.specials):
+            if not text or not self.cuts:
                 looked.append(None)
                 continue
-            words, heads = [], []
-            for line in text.split("\n"):
-                heads.append(len(words))
-                words += line.split(" ")
+            # every word of a line but the first stands after a space, the first after a line feed
+            words = ("\n" + text).replace("\n", " \n").split(" ")[1:]
             found = list(map(self.memo.get, words))
             if None in found:
                 new.update([w for w, v in zip(words, found) if v is None])
-            looked.append((words, found, heads))
+            looked.append((words, found))
         fresh = self._fresh(list(new))
         out = []
         for text, item in zip(texts, looked):
             if item is None:
                 out.append(self.whole(text) if text else b"")
                 continue
-            words, found, heads = item
+            words, found = item
             if None in found:
                 found = [fresh[w] if v is None else v for w, v in zip(words, found)]
-            for at, k in enumerate(heads):  # the first word of a line stands after a line feed, not a space
-                found[k] = self._head(words[k]) if at == 0 else self.feed_bytes + self._head(words[k])
-            out.append(b"".join(found))
+                if None in found:  # a word that cannot be cut off
+                    out.append(self.whole(text))
+                    continue
+            out.append(b"".join(found)[4:])  # without the line feed that was put before the text
         return out
 
-    def _fresh(self, words: list[str]) -> dict[str, bytes]:
-        fresh = dict(zip(words, self._pieces([" " + w for w in words]))) if words else {}
-        room = MEMO - len(self.memo)
+    def _fresh(self, words: list[str]) -> dict[str, bytes | None]:
+        """Ids of words that are not remembered, None for those that cannot be cut off. A comma or full stop after a letter
+        is cut off as well, since a run of letters is a piece of its own; so a word goes through the library once for all."""
+        memo = self.memo
+        fine = [w for w in words if len(w.split()) == 1 and not w[1:].isspace() and not any(s in w for s in self.specials)]
+        fine = [w for w in fine if w.strip() == w.lstrip("\n")]
+        bases = {w: w[:-1] for w in fine if w[-1] in ",." and w[-2:-1].isalpha()}
+        need = list(dict.fromkeys(b for w in fine if (b := bases.get(w, w)) not in memo))
+        ids = self._pieces([w[1:] if w[0] == "\n" else " " + w for w in need]) if need else []
+        fresh: dict[str, bytes | None] = {w: self.feed_bytes + i if w[0] == "\n" else i for w, i in zip(need, ids)}
+        for w, b in bases.items():
+            fresh[w] = (fresh[b] if b in fresh else memo[b]) + self.marks[w[-1]]
+        room = MEMO - len(memo)
         if room > 0:
-            self.memo.update(fresh if room >= len(fresh) else itertools.islice(fresh.items(), room))
+            memo.update(fresh if room >= len(fresh) else itertools.islice(fresh.items(), room))
+        if len(fine) < len(words):
+            fresh = dict.fromkeys(words) | fresh
         return fresh
 
-    def _head(self, word: str) -> bytes:
-        ids = self.heads.get(word)
-        if ids is None:
-            ids = self.whole(word)
-            if len(self.heads) < MEMO:
-                self.heads[word] = ids
-        return ids
 
-
-@functools.lru_cache(2)
 def encoder(tokenizer_path: str) -> Encoder:
     """One encoder, and what it remembers, for each worker process."""
-    return Encoder(tokenizer_path)
+    return per_worker(("encoder", tokenizer_path), lambda: Encoder(tokenizer_path))
 
 
 def _narrow(ids: bytes, id_bytes: int) -> bytes:
@@ -149,13 +151,17 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, id_bytes: int) -> byt
     samples = [bytes(r["ids"]) for r in map_rows(sample, start, "ids binary", rows=64).collect()]
     samples = sorted(s for s in samples if s)  # any order of arrival gives the same dictionary
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=3).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         return b""
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+    if not dictionary:
+        return zstandard.ZstdCompressor(level=LEVEL)
+    shared = zstandard.ZstdCompressionDict(dictionary)
+    shared.precompute_compress(level=LEVEL)  # once for all documents
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
 
 
 def _decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
@@ -171,7 +177,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     digest = hashlib.sha256(dictionary).hexdigest()
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    with fs.open_output_stream(f"{root}/dictionary.zst") as f:
+    with fs.open_output_stream(f"{root}/dictionary.bin") as f:
         f.write(dictionary)
     sent = spark.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES at most
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -245,7 +251,7 @@ def _load(folder: str) -> tuple[pafs.FileSystem, str, dict, bytes]:
     fs, root = pafs.FileSystem.from_uri(folder)
     with fs.open_input_stream(f"{root}/manifest.json") as f:
         manifest = json.loads(f.read())
-    with fs.open_input_stream(f"{root}/dictionary.zst") as f:
+    with fs.open_input_stream(f"{root}/dictionary.bin") as f:
         dictionary = f.read()
     if hashlib.sha256(dictionary).hexdigest() != manifest["dictionary_sha256"]:
         raise ValueError("the dictionary is not the one that these shards were written with")
