@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -75,6 +78,20 @@ def map_rows(df: DataFrame, start: Callable[[], Callable], schema: str, rows: in
     return df.mapInArrow(run, schema)
 
 
+_KEPT: dict = {}
+
+
+def per_worker(key, build: Callable):
+    """What a Python worker keeps between tasks: one thing at a time, as workers serve many operators one after another."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # hand freed memory back
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
 def arrow_types(schema: str) -> list[pa.DataType]:
     """Arrow types of a schema string that uses the few type names below."""
     kinds = {

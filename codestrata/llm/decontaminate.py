@@ -19,7 +19,6 @@ reported each; items under five words match without edits only; further columns
 
 from __future__ import annotations
 
-import functools
 import pickle
 import re
 from collections import defaultdict
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import slices, written
+from codestrata.llm.common import per_worker, slices, written
 
 #: Share of an item's words that may differ: one in EDITS.
 EDITS = 5
@@ -196,9 +195,8 @@ def item_blocks(benchmark: DataFrame) -> list[bytes]:
     return blocks + [pickle.dumps(now)] if now else blocks
 
 
-@functools.lru_cache(1)
 def _items(block: bytes) -> Items:
-    return Items(pickle.loads(block))
+    return per_worker(("items", block), lambda: Items(pickle.loads(block)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

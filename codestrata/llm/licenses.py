@@ -16,7 +16,6 @@ file go to the smaller name; repeated rows are reported each; an empty table giv
 
 from __future__ import annotations
 
-import functools
 import math
 import pickle
 import re
@@ -25,7 +24,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import map_rows, small, written
+from codestrata.llm.common import map_rows, per_worker, small, written
 
 THRESHOLD = 0.6
 #: A line with at least this bound may be part of a run.
@@ -156,9 +155,8 @@ def term_frequencies(files: DataFrame) -> dict[str, int]:
     return {r["term"]: r["n"] for r in counted.collect()}
 
 
-@functools.lru_cache(1)
 def _matcher(sent: bytes) -> Matcher:
-    return Matcher(*pickle.loads(sent))
+    return per_worker(("matcher", sent), lambda: Matcher(*pickle.loads(sent)))
 
 
 def scan(files: DataFrame) -> DataFrame:

@@ -24,7 +24,6 @@ class; a null doc_id is ignored in the smallest id of a component unless there i
 
 from __future__ import annotations
 
-import functools
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import discard, map_rows, small, written
+from codestrata.llm.common import discard, map_rows, per_worker, small, written
 from codestrata.llm.components import connected
 
 #: A shingle in more prefixes than this is frequent.
@@ -41,7 +40,7 @@ FREQUENT = 32
 TILE_ROWS = 512
 TILE_SHINGLES = 2_000_000
 #: Words whose hashes a worker remembers.
-MEMO = 500_000
+MEMO = 300_000
 
 # Odd multipliers of the 64-bit mix.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -56,9 +55,8 @@ class _WordHash(dict):
         return h
 
 
-@functools.lru_cache(1)
 def _word_hash() -> _WordHash:
-    return _WordHash()
+    return per_worker("word hashes", _WordHash)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -110,7 +108,7 @@ def _full_sets(docs: DataFrame, classes: DataFrame, rids: DataFrame, words: int)
 
         return step
 
-    sets = map_rows(chosen.select("text"), start, "cid binary, tokens array<long>")
+    sets = map_rows(chosen.select("text"), start, "cid binary, tokens array<long>", rows=128)
     return sets.join(small(wanted.drop("_id")), "cid").select("rid", "n", "tokens")
 
 
@@ -129,7 +127,7 @@ def components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -
 
         return step
 
-    rows = written(map_rows(docs, start, "doc_id long, cid binary, n int, given array<long>", rows=256), "sets")
+    rows = written(map_rows(docs, start, "doc_id long, cid binary, n int, given array<long>", rows=128), "sets")
     classes = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("min_doc"), F.first("n").alias("n"), F.first("given").alias("given"))
     classes = written(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
 
@@ -179,8 +177,10 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, num: int, den: int)
 
     families = written(connected(pairs), "families")
     others = families.select(F.col("node").alias("rid")).join(small(deep), "rid", "left_anti")
-    sets = _full_sets(docs, classes, others, words).unionAll(deep_sets.select("rid", "n", "tokens"))
-    return written(_verified(sets, families, num, den), "links")
+    sets = written(_full_sets(docs, classes, others, words).unionAll(deep_sets.select("rid", "n", "tokens")), "members")
+    links = written(_verified(sets, families, num, den), "links")
+    discard(sets)
+    return links
 
 
 def _pairs(left: DataFrame, right: DataFrame, order: str, num: int, den: int) -> DataFrame:
@@ -230,8 +230,9 @@ def forest(flat: np.ndarray, n: np.ndarray, block: np.ndarray, num: int, den: in
     order = np.argsort(token, kind="stable")
     token, of = token[order], of[order]
     common = np.zeros((members, members), np.float32)
-    width = max(256, 4_000_000 // max(members, 1))
-    for low in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+    n_tokens = int(token[-1]) + 1 if len(token) else 0
+    width = max(1, min(n_tokens, 4_000_000 // max(members, 1)))
+    for low in range(0, n_tokens, width):
         part = slice(*np.searchsorted(token, [low, low + width]))
         held = np.zeros((members, width), np.float32)
         held[of[part], token[part] - low] = 1

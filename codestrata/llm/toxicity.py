@@ -16,7 +16,6 @@ classes every score is 0; further columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import pickle
 import re
 import zlib
@@ -26,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import map_rows
+from codestrata.llm.common import map_rows, per_worker
 
 #: About as many labelled rows of each class enter the fit; a bound, whatever the size of the tables.
 MAX_ROWS = 6_000
@@ -38,7 +37,7 @@ LEAST_Z = 4.0
 FACTORS = 8
 EPOCHS = 12
 #: Words whose buckets a worker remembers.
-MEMO = 300_000
+MEMO = 200_000
 
 _WORD = re.compile(r"\w+")
 
@@ -150,8 +149,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
     return fit([np.frombuffer(b, "<i4") for b, _ in got], np.array([y for _, y in got]))
 
 
-@functools.lru_cache(2)
 def _scorer(machine: bytes):
+    return per_worker(("toxicity", machine), lambda: _build_scorer(machine))
+
+
+def _build_scorer(machine: bytes):
     m: Machine = pickle.loads(machine)
     place = {int(b): k for k, b in enumerate(m.kept)}
     memo: dict[str, tuple[int, ...]] = {}
