@@ -1,10 +1,21 @@
 """Schemas of the tables that make up a code graph and an architecture (M1-M14). Never inferred."""
 
-from pyspark.sql.types import StructType
+import re
 
 
-def _schema(text: str) -> StructType:
-    return StructType.fromDDL(text)
+class Schema(str):
+    """A schema in DDL, as Spark takes it anywhere; it needs no session to exist."""
+
+    @property
+    def names(self) -> list[str]:
+        flat = str(self)
+        while (cut := re.sub(r"<[^<>]*>", "", flat)) != flat:
+            flat = cut
+        return [part.split()[0] for part in flat.split(",")]
+
+
+def _schema(text: str) -> Schema:
+    return Schema(text)
 
 
 ENTITIES = _schema(

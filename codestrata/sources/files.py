@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import os
 from collections.abc import Iterable
 from functools import reduce
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codestrata.functions.storage import cut_lineage
 from codestrata.model import CodeGraph
 from codestrata.operators.merge import merge
 from codestrata.schemas import FACTS
@@ -36,9 +38,24 @@ def source_root(path: str, language: str | None = None) -> str:
     return next((f"{path}/{r}" for r in [*tries, *SOURCE_ROOTS] if os.path.isdir(f"{path}/{r}")), path)
 
 
+def read_contents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, modificationTime, length, content) of all files below a directory. Spark's file sources pass over names that
+    start with an underscore, such as __init__.py; those, few as they are, are read by the driver."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length", "content")
+    rows = []
+    top = path.removeprefix("file://")
+    for folder, _, names in os.walk(top):
+        for name in names:
+            full = f"{folder}/{name}"
+            if os.path.splitext(name)[1] in LANGUAGE_OF and any(part.startswith("_") for part in os.path.relpath(full, top).split("/")):
+                with open(full, "rb") as f:
+                    rows.append(("file:" + full, datetime.datetime.fromtimestamp(os.path.getmtime(full), datetime.timezone.utc), os.path.getsize(full), f.read()))
+    return found.unionByName(spark.createDataFrame(rows, found.schema)) if rows else found
+
+
 def source_files(spark: SparkSession, path: str, languages: Iterable[str] | None = None, exclude_tests: bool = True, root: str | None = None) -> DataFrame:
     """(path, rel_path, ext, language, length, modified) of the files of known languages; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+    found = read_contents(spark, path).select("path", "length", F.col("modificationTime").alias("modified"))
     clean = F.regexp_replace("path", r"^file:/*", "/")
     top = (root or path).rstrip("/") + "/"
     ext = F.concat(F.lit("."), F.regexp_extract(clean, r"\.([^./]+)$", 1))
@@ -101,10 +118,6 @@ def facts_of(files: DataFrame, contents: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, FACTS)
 
 
-def read_contents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-
-
 def parse(spark: SparkSession, path: str, language: str | None = None, languages: list[str] | None = None, exclude_tests: bool = True, cache: str | None = None) -> CodeGraph:
     """Files to a graph; several languages are parsed apart, merged and linked. With `cache`, a table folder, only
     files whose path and content are new are extracted."""
@@ -113,6 +126,7 @@ def parse(spark: SparkSession, path: str, language: str | None = None, languages
     files = files.where(F.col("language").isin(*asked))
     contents = read_contents(spark, path)
     facts = facts_of(files, contents) if cache is None else cached_facts(spark, files, contents, cache)
+    facts = cut_lineage(facts)  # read by every linking rule
     if len(asked) == 1:
         return link(facts)
     group = lambda g: facts.where(F.col("language").isin("c", "cpp") if g == "c" else F.col("language") == g)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codestrata.functions.storage import cut_lineage
 from codestrata.model import CodeGraph
 
 
@@ -125,9 +126,18 @@ def c_edges(e: DataFrame) -> DataFrame:
     return out.unionByName(parents).where("source <> target")
 
 
+RULES = (
+    (jvm_edges, {"java", "kotlin"}), (python_edges, {"python"}), (typescript_edges, {"typescript"}), (go_edges, {"go"}), (c_edges, {"c", "cpp"}),
+)
+
+
 def link(facts: DataFrame) -> CodeGraph:
     unique, rows = _entities(facts)
-    edges = reduce(DataFrame.unionByName, [f(unique) for f in (jvm_edges, python_edges, typescript_edges, go_edges, c_edges)]).distinct()
+    unique = cut_lineage(unique)
+    found = {r[0] for r in unique.select("language").distinct().collect()}
+    rules = [f for f, languages in RULES if found & languages]
+    none = facts.sparkSession.createDataFrame([], "source string, target string, relation string")
+    edges = cut_lineage(reduce(DataFrame.unionByName, [f(unique).select("source", "target", "relation") for f in rules], none).distinct())
     entities = unique.select(
         "fqn", "name", "package", F.col("rel_path").alias("file_path"), "kind", "language", "imports", "superclass", "interfaces", "owner", "is_data", "is_sealed", F.col("aliases").alias("import_aliases"), "entity_seq",
     )

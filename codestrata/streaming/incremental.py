@@ -9,7 +9,8 @@ from codestrata.streaming.schema import BINARY_FILE
 
 
 def follow(spark: SparkSession, path: str, cache: str, checkpoint: str, exclude_tests: bool = True):
-    """Start a query that keeps the facts table `cache` up with the files below path and ends when it has caught up."""
+    """Start a query that keeps the facts table `cache` up with the files below path and ends when it has caught up.
+    Spark's file stream passes over empty files and names that start with an underscore; a batch run reads those."""
     stream = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true").load(path)
 
     def upsert(batch: DataFrame, _: int) -> None:

@@ -1,4 +1,4 @@
-from pyspark.sql.types import StructType
+from codestrata.schemas import Schema
 
 #: Schema of Spark's binaryFile source.
-BINARY_FILE = StructType.fromDDL("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
+BINARY_FILE = Schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
