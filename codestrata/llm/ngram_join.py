@@ -261,7 +261,13 @@ def forest(flat: np.ndarray, n: np.ndarray, block: np.ndarray, num: int, den: in
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs, all columns, without the rows whose component holds a smaller doc_id."""
+    """docs, all columns, without the rows whose component holds a smaller doc_id. Of rows that share the smallest
+    doc_id of their component one stays; rows without a doc_id stay."""
     found = components(docs, words, num, den)
     gone = written(found.where("component_id < doc_id").select("doc_id").distinct(), "copies")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    twice = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    if twice.limit(1).count() == 0:
+        return left
+    repeated = left.join(small(twice), "doc_id", "left_semi").select(*docs.columns)
+    return left.join(small(twice), "doc_id", "left_anti").select(*docs.columns).unionAll(repeated.dropDuplicates(["doc_id"]))

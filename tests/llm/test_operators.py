@@ -237,6 +237,15 @@ def test_ngram_join(spark, monkeypatch, words, num, den):
     assert x.components(docs.limit(0)).count() == 0
 
 
+def test_repeated_ids_and_null_ids(spark):
+    from codestrata.llm import ngram_join as x
+
+    a, b = prose(30), prose(30)
+    docs = frame(spark, [(7, a, "en", "s", 0), (7, a, "en", "s", 0), (9, a, "en", "s", 0), (8, b, "en", "s", 0), (None, b, "en", "s", 0)])
+    assert sorted((r["doc_id"] or -1, r["component_id"]) for r in x.components(docs).collect()) == [(-1, 8), (7, 7), (7, 7), (8, 8), (9, 7)]
+    assert sorted(r["doc_id"] or -1 for r in x.one_of_each(docs).collect()) == [-1, 7, 8]
+
+
 def test_components_of_chains(spark):
     from codestrata.llm.components import connected
 
