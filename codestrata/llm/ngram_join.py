@@ -154,7 +154,10 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, num: int, den: int)
     cuts = written(cuts.select("rid", "cut", (F.col("cut") > F.col("given")).alias("deep")), "cuts")
     deep = cuts.where("deep").select("rid")
     light = posts.where(F.col("df") <= FREQUENT).join(small(cuts), "rid", "left")
-    light = written(light.where((F.col("pos") < F.coalesce("cut", p)) & ~F.coalesce("deep", F.lit(False))).select("h", "rid", "n", "pos"), "light")
+    light = light.where((F.col("pos") < F.coalesce("cut", p)) & ~F.coalesce("deep", F.lit(False)))
+    # at most cut - p frequent shingles stand before; as these count as moved to the end, pos is the least that it can be
+    pos = F.greatest(F.col("pos") - F.coalesce(F.col("cut") - p, F.lit(0)), F.lit(0))
+    light = written(light.select("h", "rid", "n", pos.alias("pos")), "light")
     discard(posts)
 
     pairs = _pairs(light, light, "l.rid < r.rid", num, den)

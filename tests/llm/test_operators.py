@@ -237,6 +237,23 @@ def test_ngram_join(spark, monkeypatch, words, num, den):
     assert x.components(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("words", "num", "den", "edited"), [(4, 85, 100, 1), (5, 80, 100, 2)])
+def test_short_near_copies_with_a_common_opening(spark, words, num, den, edited):
+    from codestrata.llm import ngram_join as x
+
+    r = random.Random(5)
+    opening, texts = prose(8, r), []
+    for _ in range(100):  # more than FREQUENT documents share the opening
+        w = f"{opening} {prose(16, r)}".split(" ")
+        texts.append(" ".join(w))
+        w[-r.randint(1, edited)] = "edited"
+        texts.append(" ".join(w))
+    got = sorted((row["doc_id"], row["n_shingles"], row["component_id"]) for row in x.components(docs_of(spark, texts), words, num, den).collect())
+    want = brute_components(texts, words, num, den)
+    assert len({c for _, _, c in want}) == 100
+    assert got == want
+
+
 def test_repeated_ids_and_null_ids(spark):
     from codestrata.llm import ngram_join as x
 
