@@ -368,6 +368,12 @@ def concern_overload(spark, sf_dir):
     return smells.concern_overload(graph, fx.by_brand(graph))
 
 
+@query(_gp("p_brand") + f", {_SCC} SELECT * FROM overload")
+def concern_overload_whole(spark, sf_dir):
+    graph = fx.part_graph(spark, sf_dir)
+    return smells.concern_overload(graph, fx.by_brand(graph))
+
+
 @query(
     "WITH " + _ENT + """, ends AS (SELECT DISTINCT p_brand, CASE WHEN name LIKE '%0' THEN '0' WHEN name LIKE '%1' THEN '1' WHEN name LIKE '%2' THEN '2' END AS pattern FROM ent)
 SELECT pattern, string_agg(p_brand, ',' ORDER BY p_brand) AS components, CAST(count(*) AS INTEGER) AS n_components, CASE WHEN count(*) >= 5 THEN 'high' ELSE 'medium' END AS severity FROM ends WHERE pattern IS NOT NULL GROUP BY pattern HAVING count(*) >= 3"""
@@ -508,7 +514,7 @@ def matched_keywords(spark, sf_dir):
 
 @query()
 def context_for_task(spark, sf_dir):
-    graph = fx.part_graph(spark, sf_dir, 48)
+    graph = fx.part_graph(spark, sf_dir)
     return search.context_for_task(graph, "find the small promo ring", fx.by_type(graph))
 
 
@@ -597,29 +603,47 @@ def architectural_filter(spark, sf_dir):
 
 # Similarity and clustering -----------------------------------------------------------------------------------------------
 
-_SIM = _gp(None, 48) + """, l AS (SELECT DISTINCT source AS x, target AS y FROM edges),
+_PAIRS = """, l AS (SELECT DISTINCT source AS x, target AS y FROM edges),
 f AS (SELECT a.x AS a, b.x AS b, count(*) AS n FROM l a JOIN l b ON a.y = b.y AND a.x < b.x GROUP BY ALL), fs AS (SELECT x, count(*) AS n FROM l GROUP BY ALL),
 r AS (SELECT a.y AS a, b.y AS b, count(*) AS n FROM l a JOIN l b ON a.x = b.x AND a.y < b.y GROUP BY ALL), rs AS (SELECT y AS x, count(*) AS n FROM l GROUP BY ALL),
 fj AS (SELECT f.a, f.b, f.n::DOUBLE / (p.n + q.n - f.n) AS j, 2.0::DOUBLE * f.n / (p.n + q.n) AS u FROM f JOIN fs p ON p.x = f.a JOIN fs q ON q.x = f.b),
 rj AS (SELECT r.a, r.b, r.n::DOUBLE / (p.n + q.n - r.n) AS j FROM r JOIN rs p ON p.x = r.a JOIN rs q ON q.x = r.b)"""
+_SIM, _SIM_WHOLE = _gp(None, 48) + _PAIRS, _gp(None) + _PAIRS
+_JACCARD, _UEM = " SELECT a, b, round(j, 6) AS similarity FROM fj", " SELECT a, b, round(u, 6) AS similarity FROM fj"
+_SCM = " SELECT coalesce(fj.a, rj.a) AS a, coalesce(fj.b, rj.b) AS b, round((coalesce(fj.j, 0) + coalesce(rj.j, 0)) / 2, 6) AS similarity FROM fj FULL JOIN rj ON fj.a = rj.a AND fj.b = rj.b"
 
 
-def _sim(spark, sf_dir, measure):
-    return similar_pairs(fx.part_graph(spark, sf_dir, 48).edges, measure).select("a", "b", F.round("similarity", 6).alias("similarity"))
+def _sim(spark, sf_dir, measure, min_quantity=None):
+    return similar_pairs(fx.part_graph(spark, sf_dir, min_quantity).edges, measure).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query(_SIM + " SELECT a, b, round(j, 6) AS similarity FROM fj")
+@query(_SIM + _JACCARD)
 def sim_jaccard(spark, sf_dir):
+    return _sim(spark, sf_dir, "jaccard", 48)
+
+
+@query(_SIM_WHOLE + _JACCARD)
+def sim_jaccard_whole(spark, sf_dir):
     return _sim(spark, sf_dir, "jaccard")
 
 
-@query(_SIM + " SELECT a, b, round(u, 6) AS similarity FROM fj")
+@query(_SIM + _UEM)
 def sim_uem(spark, sf_dir):
+    return _sim(spark, sf_dir, "uem", 48)
+
+
+@query(_SIM_WHOLE + _UEM)
+def sim_uem_whole(spark, sf_dir):
     return _sim(spark, sf_dir, "uem")
 
 
-@query(_SIM + " SELECT coalesce(fj.a, rj.a) AS a, coalesce(fj.b, rj.b) AS b, round((coalesce(fj.j, 0) + coalesce(rj.j, 0)) / 2, 6) AS similarity FROM fj FULL JOIN rj ON fj.a = rj.a AND fj.b = rj.b")
+@query(_SIM + _SCM)
 def sim_scm(spark, sf_dir):
+    return _sim(spark, sf_dir, "scm", 48)
+
+
+@query(_SIM_WHOLE + _SCM)
+def sim_scm_whole(spark, sf_dir):
     return _sim(spark, sf_dir, "scm")
 
 

@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -272,3 +273,37 @@ def test_queries_match_sql(spark):
         got, want = QUERIES[name](spark, SF).toPandas(), db.sql(SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns), name
         assert rows_of(got) == rows_of(want), name
+
+
+def test_whole_graph_queries(spark):
+    from codestrata.plans import fixtures as fx
+    from codestrata.plans.queries import QUERIES
+
+    graph = fx.part_graph(spark, SF)
+    out, into = {}, {}
+    for e in graph.edges.select("source", "target").distinct().collect():
+        out.setdefault(e["source"], set()).add(e["target"])
+        into.setdefault(e["target"], set()).add(e["source"])
+
+    def pairs(of):
+        return {(a, b): (len(of[a] & of[b]), len(of[a]), len(of[b])) for a in of for b in of if a < b and of[a] & of[b]}
+
+    forward, backward = pairs(out), pairs(into)
+    jaccard = {k: n / (p + q - n) for k, (n, p, q) in forward.items()}
+    back = {k: n / (p + q - n) for k, (n, p, q) in backward.items()}
+    want = {
+        "jaccard": jaccard,
+        "uem": {k: 2 * n / (p + q) for k, (n, p, q) in forward.items()},
+        "scm": {k: (jaccard.get(k, 0) + back.get(k, 0)) / 2 for k in jaccard.keys() | back.keys()},
+    }
+    for measure, expected in want.items():
+        got = {(r["a"], r["b"]): r["similarity"] for r in QUERIES[f"sim_{measure}_whole"](spark, SF).collect()}
+        assert got.keys() == expected.keys()
+        assert all(got[k] == pytest.approx(v, abs=1e-6) for k, v in expected.items())
+
+    members = {r["fqn"]: r["p_brand"] for r in graph.entities.select("fqn", "p_brand").collect()}
+    sizes = Counter(members.values())
+    inside = Counter(members[e["source"]] for e in graph.edges.collect() if members[e["source"]] == members[e["target"]])
+    assert {r["component"] for r in QUERIES["concern_overload_whole"](spark, SF).collect()} == {c for c, n in sizes.items() if n > 20 and inside[c] / n < 0.4}
+    files = [tuple(r) for r in QUERIES["context_for_task"](spark, SF).collect()]
+    assert files == [tuple(r) for r in search.context_for_task(graph, "find the small promo ring", fx.by_type(graph)).collect()]
