@@ -2,8 +2,8 @@
 
 1. Document frequencies of the templates' terms are counted over all files. A term that no template has weighs as
    one seen in a single file, so words around a licence text lower its cosine.
-2. Units of a file are its lines, runs of neighbouring lines that each resemble a licence text, and the whole file if it
-   has at most `FILE_WORDS` words. The share of a unit's norm that lies in the templates' terms bounds its cosine
+2. Units of a file are its lines, the whole file, and within each run of neighbouring lines that each resemble a licence
+   text (blank lines do not end it) every sequence of its paragraphs. The share of a unit's norm that lies in the templates' terms bounds its cosine
    with any of them; units whose bound is below the threshold are passed over. The best cosine of a file, if it reaches
    the threshold, names its licence.
 3. A file without one takes the licence of the licence file (LICENSE, COPYING, NOTICE ...) in the nearest directory above
@@ -29,8 +29,14 @@ from codestrata.llm.common import map_rows, per_worker, small, written
 THRESHOLD = 0.6
 #: A line with at least this bound may be part of a run.
 RUN_BOUND = 0.35
-FILE_WORDS = 400
-RUN_LINES = 40
+
+# Bodies of licences that are reproduced whole; terms of a whole text outweigh those of a notice in it.
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_PERMISSION = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 
 # Short notices by SPDX name, as their licences ask for them.
 TEMPLATES = {
@@ -54,6 +60,21 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+_TEXTS = {
+    "0BSD": [f"{_PERMISSION}. {_AS_IS}"],
+    "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "Apache-2.0": ["Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
+    "BSD-2-Clause": [f"{_BSD} {_BSD_AS_IS}"],
+    "BSD-3-Clause": [f"{_BSD} {_BSD_NAMES} {_BSD_AS_IS}"],
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "ISC": [f"{_PERMISSION}, provided that the above copyright notice and this permission notice appear in all copies. {_AS_IS}"],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "MIT": [_MIT],
+    "MPL-2.0": ["Mozilla Public License Version 2.0"],
+}
+for _name, _more in _TEXTS.items():
+    TEMPLATES[_name] = TEMPLATES[_name] + _more
 LICENCE_FILE = r"(?i)^(?:un)?licen[cs]e|^copying|^notice|^copyright"
 
 _TERM = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -104,38 +125,58 @@ class Matcher:
                 top, name = score, licence
         return top, name
 
+    def best_sequence(self, run: list[tuple[int, list[str]]]) -> tuple[float, str | None, int]:
+        """The best of all sequences of neighbouring paragraphs: products with a template add up, norms by term."""
+        counts = [Counter(words) for _, words in run]
+        products = [[sum(n * self.idf[w] * template[w] for w, n in c.items() if w in template) for _, template in self.templates] for c in counts]
+        top, name, line = 0.0, None, 0
+        for i, (start, _) in enumerate(run):
+            seen: Counter = Counter()
+            norm2, total = 0.0, [0.0] * len(self.templates)
+            for j in range(i, len(run)):
+                for w, n in counts[j].items():
+                    norm2 += (2 * seen[w] + n) * n * self.idf.get(w, self.top) ** 2
+                    seen[w] += n
+                total = [x + y for x, y in zip(total, products[j])]
+                k = max(range(len(total)), key=total.__getitem__)  # names stand in order, so ties go to the smaller
+                score = total[k] / math.sqrt(norm2)
+                if score > top + 1e-12:
+                    top, name, line = score, self.templates[k][0], start
+        return top, name, line
+
     def of_file(self, text: str | None) -> tuple[str | None, float | None, int | None]:
         """(licence, score, line) of the best unit at or above the threshold; a whole file counts as line 0."""
         if not text:
             return None, None, None
         best: tuple[float, str | None, int] = (0.0, None, 0)
-        run: list[str] = []
-        start = lines = n_words = 0
-        for at, line in enumerate([*text.split("\n"), ""]):
-            words = terms(line)
-            n_words += len(words)
-            bound = self.bound(words) if words else 0.0
+        run: list[tuple[int, list[str]]] = []  # paragraphs: first line, words
+        lines, broken, whole = 0, False, []
+        for at, line in enumerate([*text.split("\n"), None]):
+            words = terms(line) if line is not None else []
+            whole += words
+            if line is not None and not words:
+                broken = True
+                continue
+            bound = self.bound(words)
             if bound >= THRESHOLD:
                 score, name = self.best(words)
                 if score > best[0] + 1e-12:
                     best = (score, name, at)
-            if bound >= RUN_BOUND and lines < RUN_LINES:
-                if not run:
-                    start = at
-                run += words
-                lines += 1
+            if bound >= RUN_BOUND:
+                if not run or broken:
+                    run.append((at, []))
+                run[-1][1].extend(words)
+                lines, broken = lines + 1, False
                 continue
-            if lines > 1 and self.bound(run) >= THRESHOLD:
-                score, name = self.best(run)
+            if lines > 1:
+                score, name, start = self.best_sequence(run)
                 if score > best[0] + 1e-12:
                     best = (score, name, start)
-            run, lines = [], 0
-        if 0 < n_words <= FILE_WORDS and "\n" in text:
-            words = terms(text)
-            if self.bound(words) >= THRESHOLD:
-                score, name = self.best(words)
-                if score > best[0] + 1e-12:
-                    best = (score, name, 0)
+            run, lines, broken = [], 0, False
+        if "\n" in text and self.bound(whole) >= THRESHOLD:
+            score, name = self.best(whole)
+            if score > best[0] + 1e-12:
+                best = (score, name, 0)
         return (best[1], best[0], best[2]) if best[0] >= THRESHOLD else (None, None, None)
 
 

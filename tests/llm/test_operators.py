@@ -476,6 +476,29 @@ def test_licenses(spark):
     assert x.scan(empty).count() == 0
 
 
+def test_whole_licence_texts(spark):
+    import textwrap
+
+    from codestrata.llm import licenses as x
+
+    held = "Copyright (c) 2020, Jane Doe. All rights reserved."
+    permission = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    bodies = {
+        "BSD-2-Clause": [x._BSD, x._BSD_AS_IS], "BSD-3-Clause": [x._BSD, x._BSD_NAMES, x._BSD_AS_IS], "ISC": [permission, x._AS_IS], "MIT": [x._MIT],
+    }
+    rows = []
+    for k, (name, body) in enumerate(bodies.items()):
+        paragraphs = "\n\n".join(textwrap.fill(p, 76) for p in [held, *body])
+        rows += [(k, f"{name}/LICENSE", paragraphs), (10 + k, f"{name}/a/b.py", prose(20))]
+        rows.append((20 + k, f"long{k}/LICENSE", prose(600) + "\n\n" + paragraphs + "\n\n" + prose(600)))
+        narrow = "\n".join(textwrap.fill(p, 24) for p in body)  # more than 40 lines without a blank one
+        rows.append((30 + k, f"narrow{k}/LICENSE", prose(600) + "\n" + narrow + "\n" + prose(600)))
+    rows += [(100 + i, f"n/{i}.txt", prose(40)) for i in range(60)]
+    got = {r["doc_id"]: (r["licence"], r["origin"]) for r in x.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for k, name in enumerate(bodies):
+        assert [got[k], got[10 + k], got[20 + k], got[30 + k]] == [(name, "file"), (name, "inherited"), (name, "file"), (name, "file")]
+
+
 # Pipeline ----------------------------------------------------------------------------------------------------------------
 
 
