@@ -118,6 +118,11 @@ def _digest(tokens: np.ndarray) -> bytes:
 
 def components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    return _labelled(docs, words, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def _labelled(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """components with cid, the class of a row, and label, that of its component: two components may have one smallest doc_id."""
     docs = docs.select("doc_id", "text")
 
     def start():
@@ -135,9 +140,9 @@ def components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -
     labels = connected(links)
     of_class = classes.select("rid", "cid", "min_doc").join(labels, classes["rid"] == labels["node"], "left").withColumn("label", F.coalesce("label", "rid"))
     smallest = of_class.groupBy("label").agg(F.min("min_doc").alias("component_id"))
-    of_class = written(of_class.join(smallest, "label").select("cid", "component_id"), "labels")
+    of_class = written(of_class.join(smallest, "label").select("cid", "component_id", "label"), "labels")
     out = rows.select("doc_id", "cid", "n").join(small(of_class), "cid", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "cid", "label", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _links(docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -265,12 +270,23 @@ def forest(flat: np.ndarray, n: np.ndarray, block: np.ndarray, num: int, den: in
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs, all columns, without the rows whose component holds a smaller doc_id. Of rows that share the smallest
-    doc_id of their component one stays; rows without a doc_id stay."""
-    found = components(docs, words, num, den)
+    doc_id of their component one stays; rows without a doc_id stay. Rows of a repeated doc_id are judged by their classes."""
+    found = _labelled(docs, words, num, den)
     gone = written(found.where("component_id < doc_id").select("doc_id").distinct(), "copies")
-    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
     twice = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
     if twice.limit(1).count() == 0:
         return left
-    repeated = left.join(small(twice), "doc_id", "left_semi").select(*docs.columns)
-    return left.join(small(twice), "doc_id", "left_anti").select(*docs.columns).unionAll(repeated.dropDuplicates(["doc_id"]))
+
+    def start():
+        def step(doc_ids, keys, texts):
+            return doc_ids, keys, [_digest(shingles(t, words)) for t in texts]
+
+        return step
+
+    repeated = docs.join(small(twice), "doc_id", "left_semi").withColumn("_key", F.coalesce(F.sha2("text", 256), F.lit("")))
+    classes = map_rows(repeated.select("doc_id", "_key", "text"), start, "doc_id long, _key string, _cid binary", rows=128).distinct()
+    stay = found.join(small(twice), "doc_id", "left_semi").where("component_id = doc_id").groupBy("doc_id", "label").agg(F.min("cid").alias("_cid"))
+    stay = written(classes.join(stay.select("doc_id", "_cid"), ["doc_id", "_cid"], "left_semi"), "stay")
+    repeated = repeated.join(small(stay), ["doc_id", "_key"]).dropDuplicates(["doc_id", "_cid"]).select(*docs.columns)
+    return left.join(small(twice), "doc_id", "left_anti").select(*docs.columns).unionAll(repeated)

@@ -263,6 +263,15 @@ def test_repeated_ids_and_null_ids(spark):
     assert sorted(r["doc_id"] or -1 for r in x.one_of_each(docs).collect()) == [-1, 7, 8]
 
 
+def test_repeated_ids_with_different_texts(spark):
+    from codestrata.llm import ngram_join as x
+
+    a, b, c, d = (prose(30) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (6, c), (6, d), (6, d), (7, d), (8, None), (8, ""), (9, b + " end"), (9, b)]
+    left = x.one_of_each(frame(spark, [(k, t, "en", "s", 0) for k, t in rows])).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in left) == sorted([(1, a), (5, b), (6, c), (6, d), (8, "")])
+
+
 def test_components_of_chains(spark):
     from codestrata.llm.components import connected
 
