@@ -9,7 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,22 +56,38 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in small pieces, so that Python objects of a few rows exist at a time."""
+#: Bytes of text whose Python objects exist at a time, one text at least.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512, text: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in small pieces, so that Python objects of a few rows exist at a time; with `text`, the place of a
+    string column, pieces also hold no more than SLICE_BYTES of it, or one row."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if text is None:
+            sizes = None
+        else:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = min(batch.num_rows, at + rows)
+            if sizes is not None:
+                before = sizes[at - 1] if at else 0
+                end = min(end, max(at + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, "right"))))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def map_rows(df: DataFrame, start: Callable[[], Callable], schema: str, rows: int = 512) -> DataFrame:
-    """mapInArrow in small pieces. `start` runs once per task and returns a function from one list per
+    """mapInArrow in small pieces, bounded by their bytes where there is a column text or html. `start` runs once per task and returns a function from one list per
     input column to one list per output column."""
     names = [part.strip().split()[0] for part in schema.split(",")]
+    text = next((df.columns.index(c) for c in ("text", "html") if c in df.columns), None)
 
     def run(batches):
         step = start()
         kind = None
-        for piece in slices(batches, rows):
+        for piece in slices(batches, rows, text):
             columns = step(*[column.to_pylist() for column in piece.columns])
             if kind is None:
                 kind = arrow_types(schema)

@@ -1,18 +1,20 @@
-"""Benchmark decontamination: windows of documents that are within a few word edits of a benchmark item.
+"""Benchmark decontamination: CGK walks and bit-sampling LSH over item-sized windows, then exact edits.
 
 Words are runs of letters, digits and underscores in lower case. An item of n words leaks into a document if some
 stretch of the document is within n // 5 word edits of it.
 
-1. Windows. An item is cut into n // 5 + 1 segments, so a stretch within n // 5 edits holds one of them unchanged.
-   Wherever a document has the anchor of a segment (three words of it), the item-sized windows that could hold the
-   stretch there are taken: a lossless choice, whole texts, all offsets.
-2. Each window and each item is embedded by CGK random walks: at step j a random bit of the symbol under the cursor
-   says whether the cursor moves on, so a few edits change few of the 3n steps and edit distance turns into Hamming
-   distance. `WALKS` walks each sample `BITS` steps; a window that agrees with its item on all samples of one walk is a
-   candidate.
-3. Candidates are verified by the exact edit distance of the item to the best stretch around the window.
-
-Items reach the executors in blocks of at most `BLOCK_WORDS` words, each block in one pass; documents are never shuffled.
+1. Windows. At every place of every whole text stands a window of each item length n. An edit destroys at most q of the n - q + 1
+   runs of q words, so a window within e = n // 5 edits of an item has at least n - q + 1 - q * e runs that occur in items at all; windows
+   with fewer runs of one, two or three words, found by running counts over the whole text, are passed over without loss.
+2. Every other window, and each item, is embedded by CGK random walks: at step j a random bit of the symbol under the cursor
+   says whether the cursor moves on, so that edit distance turns into Hamming distance between walks. The symbols that a walk meets at BITS
+   sampled steps are the key of a bucket; a window that falls into an item's bucket in one of the walks is a candidate. Steps are sampled
+   where walks rarely have come to the end of an item; a walk whose sample lies beyond it gives the item no bucket.
+3. The number of walks follows from TARGET: copies of items with n // 5 random edits show how often a walk finds them, and
+   as many walks are taken as make the expected recall TARGET (MOST_WALKS at most; `Items.expected` has what is reached).
+4. Candidates are verified by the exact edit distance of the item to the best stretch around the window.
+
+Items reach the executors in blocks of about `BLOCK_WORDS` words, each block in one pass; documents are never shuffled.
 Defined cases: null and empty texts and items without words match nothing; equal items match each; repeated rows are
 reported each; items under five words match without edits only; further columns are kept or ignored.
 """
@@ -22,6 +24,8 @@ from __future__ import annotations
 import pickle
 import re
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +36,16 @@ from codestrata.llm.common import per_worker, slices, written
 
 #: Share of an item's words that may differ: one in EDITS.
 EDITS = 5
-WALKS = 16
+#: Recall that the walks are to reach on items with the most edits, the most walks, and items that it is estimated from.
+TARGET, MOST_WALKS, TRIALS = 0.99, 64, 256
 BITS = 2
+#: Steps of a walk over an item of n words: STEPS * n; a cursor is expected at half of them.
+STEPS = 1.5
 #: Words of the items in a broadcast block.
 BLOCK_WORDS = 500_000
 _SYMBOLS = 64
+#: Steps of walks that are held at a time.
+PATH_CELLS = 2_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -44,104 +53,184 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-class _Vocabulary(dict):
-    def __missing__(self, word: str) -> int:
-        return 0  # a word that no item has
-
-
 class Items:
     """The items of a block, ready to be searched for."""
 
     def __init__(self, items: list[tuple[int, list[str]]], seed: int = 11):
-        self.vocabulary = _Vocabulary()
+        self.vocabulary: dict[str, int] = {}
         self.ids = [i for i, w in items if w]
         self.words = [np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64) for _, w in items if w]
         self.size = len(self.vocabulary) + 1
-        lengths = np.array([len(w) for w in self.words], np.int64)
-        self.lengths, self.edits = lengths, lengths // EDITS
-        spelled = {k: w for w, k in self.vocabulary.items()}
-        anchors: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, w in enumerate(self.words):
-            parts = np.array_split(np.arange(len(w)), int(self.edits[k]) + 1)
-            for part in parts:
-                q = min(3, len(part))
-                # of the runs of q words in the segment, the one with the most letters is the rarest, most likely
-                at = max(range(part[0], part[-1] + 2 - q), key=lambda s: sum(len(spelled[x]) for x in w[s : s + q]))
-                anchors[q][self.code(w[at : at + q])].append((k, at))
-        self.anchors = {q: (np.array(sorted(found)), found) for q, found in anchors.items()}
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.edits = self.lengths // EDITS
         rng = np.random.default_rng(seed)
-        steps = 3 * int(lengths.max()) if len(lengths) else 0
-        self.bits = rng.integers(0, 2, (steps, WALKS, _SYMBOLS)).astype(np.int64)
-        self.share = rng.random((WALKS, BITS))
-        self.sample = self.embed(self.words, np.arange(len(self.words)))
-
-    def code(self, run: np.ndarray) -> int:
-        out = 0
-        for x in run.tolist():
-            out = out * self.size + x
+        steps = int(STEPS * self.lengths.max()) + 1 if len(self.ids) else 0
+        self.bits = rng.integers(0, 2, (steps, MOST_WALKS, _SYMBOLS)).astype(np.int32)
+        self.share = (rng.random((MOST_WALKS, BITS)) + np.arange(BITS)) / BITS  # one step from each part of a walk
+        self.walks, self.expected = self._needed(rng)
+        # a bitmap of the runs of two and three words of items; runs that share a bit only let more windows pass
+        self.mask = (1 << max(16, int(32 * self.lengths.sum()).bit_length())) - 1
+        self.runs = {q: np.zeros(self.mask + 1, bool) for q in (2, 3)}
+        for w in self.words:
+            for q, bitmap in self.runs.items():
+                bitmap[self._run_codes(w, q)] = True
+        self.sizes = sorted(set(self.lengths.tolist()))
+        self.table = self._table()
+
+    def symbols(self, words: list[str]) -> np.ndarray:
+        """The words by number, 0 where no item has them."""
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
+
+    def steps(self, n: int) -> np.ndarray:
+        """The sampled steps of each walk over n words."""
+        return (self.share * STEPS * n).astype(np.int64)
+
+    def paths(self, flat: np.ndarray, starts: np.ndarray, steps: int, walks: int) -> np.ndarray:
+        """steps x starts x walks: where in flat each walk stands at each step. A walk is the same for windows of all sizes."""
+        symbol = np.concatenate([flat, np.zeros(steps, flat.dtype)]) % _SYMBOLS
+        symbol = symbol.astype(np.int32)
+        offset = (np.arange(walks, dtype=np.int32) * _SYMBOLS)[None, :]
+        cursor = np.repeat(starts[:, None], walks, 1).astype(np.int32)
+        out = np.empty((steps, *cursor.shape), np.int32)
+        for j in range(steps):
+            out[j] = cursor
+            cursor += self.bits[j, :walks].ravel().take(symbol.take(cursor) + offset)
         return out
 
-    def embed(self, windows: list[np.ndarray], items: np.ndarray) -> np.ndarray:
-        """windows x WALKS x BITS symbols that the walks sample; windows[k] is embedded as items[k] is."""
-        if not len(windows):
-            return np.empty((0, WALKS, BITS), np.int64)
-        n = self.lengths[items]
-        table = np.full((len(windows), int(n.max()) + 1), -1, np.int64)  # -1 beyond the end
-        for k, w in enumerate(windows):
-            table[k, : len(w)] = w
-        at = (self.share[None] * (3 * n)[:, None, None]).astype(np.int64)  # the steps that are sampled
-        out = np.full(at.shape, -1, np.int64)
-        row = np.arange(len(windows))[:, None]
-        walk = np.arange(WALKS)[None, :]
-        cursor = np.zeros((len(windows), WALKS), np.int64)
-        last = n[:, None]
-        for j in range(3 * int(n.max())):
-            symbol = table[row, cursor]
-            hit = at == j
-            if hit.any():
-                out = np.where(hit, symbol[:, :, None], out)
-            cursor = np.minimum(cursor + self.bits[j, walk, symbol % _SYMBOLS], last)
+    def sampled(self, flat: np.ndarray, paths: np.ndarray, rows: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+        """rows x walks x BITS: the symbols that the walks from starts, rows of paths, meet at the sampled steps; -1 beyond n words."""
+        walks = paths.shape[2]
+        at, walk, last = self.steps(n)[:walks], np.arange(walks)[None, :], (starts + n)[:, None]
+        out = np.empty((len(rows), walks, BITS), np.int64)
+        for b in range(BITS):
+            cursor = paths[at[None, :, b], rows[:, None], walk]
+            out[:, :, b] = np.where(cursor < last, flat.take(np.minimum(cursor, len(flat) - 1)), -1)
         return out
 
-    def windows(self, doc: np.ndarray) -> set[tuple[int, int]]:
-        """(item, start) of the item-sized windows that anchors point to."""
-        found: set[tuple[int, int]] = set()
-        for q, (codes, of) in self.anchors.items():
-            if len(doc) < q:
+    def embed(self, flat: np.ndarray, starts: np.ndarray, n: int, walks: int) -> np.ndarray:
+        return self.sampled(flat, self.paths(flat, starts, int(STEPS * n) + 1, walks), np.arange(len(starts)), starts, n)
+
+    def _needed(self, rng: np.random.Generator) -> tuple[int, float]:
+        """Walks that find an item with the most edits with probability TARGET, and the recall expected of them."""
+        chosen = np.unique(np.linspace(0, len(self.ids) - 1, min(TRIALS, len(self.ids))).astype(int)) if self.ids else []
+        rates = []
+        for k in chosen:
+            item, n = self.words[k], int(self.lengths[k])
+            copy = item.tolist()
+            for kind, where in zip(rng.random(int(self.edits[k])), rng.random(int(self.edits[k]))):
+                p = int(where * len(copy))
+                if kind < 1 / 3:
+                    copy[p] = 0
+                elif kind < 2 / 3:
+                    copy.insert(p, 0)
+                elif len(copy) > 1:
+                    del copy[p]
+            flat = np.concatenate([item, np.zeros(n, np.int64), copy, np.zeros(2 * n, np.int64)])
+            got = self.embed(flat, np.array([0, 2 * n]), n, MOST_WALKS)
+            rates.append(float(((got[0] == got[1]) & (got[0] >= 0)).all(1).mean()))
+        missed = 1 - np.array(rates)
+        for walks in range(4, MOST_WALKS, 4):
+            if not rates or 1 - (missed**walks).mean() >= TARGET:
+                return walks, 1 - float((missed**walks).mean()) if rates else 1.0
+        return MOST_WALKS, 1 - float((missed**MOST_WALKS).mean())
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of all items in all walks, ascending, and the items."""
+        keys, items = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for n in self.sizes:
+            members = np.flatnonzero(self.lengths == n)
+            got = self.embed(np.concatenate([self.words[k] for k in members]), np.arange(len(members)) * n, n, self.walks)
+            found = self._keys(got, n)
+            fine = (got >= 0).all(2)
+            keys.append(found[fine])
+            items.append(np.broadcast_to(members[:, None], fine.shape)[fine])
+        key, item = np.concatenate(keys), np.concatenate(items)
+        order = np.argsort(key, kind="stable")
+        return key[order], item[order]
+
+    def _keys(self, symbols: np.ndarray, n: int) -> np.ndarray:
+        """One number for size, walk and sampled symbols."""
+        out = self.sizes.index(n) * self.walks + np.arange(symbols.shape[1], dtype=np.int64)[None, :]
+        for b in range(BITS):
+            out = out * self.size + symbols[:, :, b]
+        return out
+
+    def _run_codes(self, words: np.ndarray, q: int) -> np.ndarray:
+        code = words[: max(0, len(words) - q + 1)].astype(np.uint64)
+        for k in range(1, q):
+            code = (code ^ (code >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - q + 1 + k].astype(np.uint64)  # an odd multiplier
+        code = (code ^ (code >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return (code >> np.uint64(20)).astype(np.int64) & self.mask
+
+    def candidates(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, start) of the windows of flat that share a bucket with an item of their size."""
+        known = flat > 0
+        counts = {1: np.concatenate([[0], np.cumsum(known, dtype=np.int32)])}
+        for q, bitmap in self.runs.items():
+            seen = bitmap[self._run_codes(flat, q)]
+            for k in range(q):
+                seen &= known[k : len(flat) - q + 1 + k]
+            counts[q] = np.concatenate([[0], np.cumsum(seen, dtype=np.int32)])
+        # where the longest window holds too few runs of three for any size, no window begins
+        found, longest = {}, int(self.lengths.max())
+        least = min(n - 2 - 3 * (n // EDITS) for n in self.sizes)
+        upto = counts[3]
+        every = np.flatnonzero(upto[np.minimum(np.arange(len(flat)) + longest, len(upto) - 1)] - upto[np.minimum(np.arange(len(flat)), len(upto) - 1)] >= max(0, least))
+        for n in self.sizes:
+            if len(flat) <= n:
                 continue
-            code = doc[: len(doc) - q + 1]
-            for k in range(1, q):
-                code = code * self.size + doc[k : len(doc) - q + 1 + k]
-            place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-            for p in np.flatnonzero(codes[place] == code).tolist():
-                for item, offset in of[int(code[p])]:
-                    e = int(self.edits[item])
-                    n = int(self.lengths[item])
-                    for start in range(p - offset - e, p - offset + e + 1):
-                        if -e <= start and start + n <= len(doc) + e:
-                            found.add((item, start))
-        return found
+            places = every[: np.searchsorted(every, len(flat) - n, "right")]
+            for q in (3, 2, 1):
+                least = n - q + 1 - q * (n // EDITS)
+                if least > 0:
+                    places = places[counts[q].take(places + n - q + 1) - counts[q].take(places) >= least]
+            if len(places):
+                found[n] = places
+        items, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        keys, members = self.table
+        every = np.unique(np.concatenate([*found.values()])) if found else np.empty(0, np.int64)
+        steps = int(STEPS * max(found, default=0)) + 1
+        width = max(16, PATH_CELLS // (steps * self.walks))
+        for at in range(0, len(every), width):
+            here = every[at : at + width]
+            wanted, of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            paths = self.paths(flat[here[0] : here[-1] + steps + 1], here - here[0], steps, self.walks) + here[0]
+            for n, places in found.items():
+                part = places[np.searchsorted(places, here[0]) : np.searchsorted(places, here[-1], "right")]
+                if len(part):
+                    got = self.sampled(flat, paths, np.searchsorted(here, part), part, n)
+                    fine = (got > 0).all(2)
+                    wanted.append(self._keys(got, n)[fine])
+                    of.append(np.broadcast_to(part[:, None], fine.shape)[fine])
+            want = np.concatenate(wanted)
+            low, high = np.searchsorted(keys, want, "left"), np.searchsorted(keys, want, "right")
+            hit = np.flatnonzero(high > low)
+            if len(hit):
+                m = (high - low)[hit]
+                items.append(members[np.repeat(low[hit] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))])
+                starts.append(np.repeat(np.concatenate(of)[hit], m))
+        both = np.unique(np.stack([np.concatenate(items), np.concatenate(starts)], 1), axis=0)
+        return both[:, 0], both[:, 1]
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item_id, distance, first word, word after the last) of every item that leaks into it."""
-        docs = []
-        rows: list[tuple[int, int, int]] = []
-        for k, text in enumerate(texts):
-            words = words_of(text)
-            doc = np.fromiter(map(self.vocabulary.__getitem__, words), np.int64, len(words))
-            docs.append(doc)
-            if len(doc) and self.ids:
-                rows += [(k, item, start) for item, start in self.windows(doc)]
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        if not self.ids:
+            return out
+        gap = np.zeros(int(self.lengths.max()), np.int64)  # between texts: no window of one reaches into the next
+        parts, begin, at = [], [], 0
+        for text in texts:
+            words = words_of(text)
+            begin.append(at)
+            parts += [self.symbols(words), gap]
+            at += len(words) + len(gap)
+        flat = np.concatenate([*parts, gap]) if parts else gap
+        end = np.append(begin[1:], at) - len(gap)
+        begin = np.array(begin, np.int64)
         near: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for at in range(0, len(rows), 4096):
-            part = rows[at : at + 4096]
-            items = np.array([r[1] for r in part])
-            got = self.embed([docs[k][max(0, s) : max(0, s + int(self.lengths[i]))] for k, i, s in part], items)
-            agree = (got == self.sample[items]).all(2).any(1)
-            for (k, i, s), yes in zip(part, agree):
-                if yes:
-                    near[k, i].append(s)
+        for item, start in zip(*[x.tolist() for x in self.candidates(flat)]):
+            k = int(np.searchsorted(begin, start, "right")) - 1
+            near[k, item].append(start)
         for (k, i), starts in sorted(near.items()):
             best = None
             e, n = int(self.edits[i]), int(self.lengths[i])
@@ -149,10 +238,12 @@ class Items:
             low = starts[0]
             for s, after in zip(starts, [*starts[1:], None]):
                 if after is None or after > s + n:  # windows that overlap are verified as one stretch
-                    a, b = max(0, low - e), min(len(docs[k]), s + n + e)
-                    hit = distance(self.words[i], docs[k][a:b])
-                    if hit[0] <= e and (best is None or hit[0] < best[0]):
-                        best = (hit[0], a + hit[1], a + hit[2])
+                    a, b = max(int(begin[k]), low - e), min(int(end[k]), s + n + e)
+                    # each word that the stretch lacks is an edit
+                    if np.isin(self.words[i], flat[a:b]).sum() >= n - e:
+                        hit = distance(self.words[i], flat[a:b])
+                        if hit[0] <= e and (best is None or hit[0] < best[0]):
+                            best = (hit[0], a - int(begin[k]) + hit[1], a - int(begin[k]) + hit[2])
                     low = after
             if best is not None:
                 out[k].append((self.ids[i], *best))
@@ -181,18 +272,15 @@ def distance(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(first[end]), end
 
 
-def item_blocks(benchmark: DataFrame) -> list[bytes]:
-    """The items, pickled in blocks of at most BLOCK_WORDS words (one item at least), read block by block."""
+def item_blocks(benchmark: DataFrame) -> Iterator[bytes]:
+    """The items, pickled in blocks of about BLOCK_WORDS words, dealt by hash; one block at a time is on the driver."""
     rows = written(benchmark.select("item_id", "text").where("text is not null"), "items")
-    blocks, now, size = [], [], 0
-    for r in rows.orderBy("item_id", "text").toLocalIterator():
-        words = words_of(r["text"])
-        if now and size + len(words) > BLOCK_WORDS:
-            blocks.append(pickle.dumps(now))
-            now, size = [], 0
-        now.append((r["item_id"], words))
-        size += len(words)
-    return blocks + [pickle.dumps(now)] if now else blocks
+    words = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-words // (6 * BLOCK_WORDS))  # some six bytes a word
+    for block in range(n):
+        mine = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).orderBy("item_id", "text").collect()
+        if mine:
+            yield pickle.dumps([(r["item_id"], words_of(r["text"])) for r in mine])
 
 
 def _items(block: bytes) -> Items:
@@ -210,7 +298,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def find(batches, sent=sent):
             items = _items(sent.value)
             length = dict(zip(items.ids, items.lengths.tolist()))
-            for piece in slices(batches, 256):
+            for piece in slices(batches, 1024, 1):
                 rows = [(d, i, e, length[i], a, b) for d, hits in zip(piece.column(0).to_pylist(), items.search(piece.column(1).to_pylist())) for i, e, a, b in hits]
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
@@ -229,7 +317,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def keep(batches, sent=sent):
             items = _items(sent.value)
-            for piece in slices(batches, 256):
+            for piece in slices(batches, 1024, at):
                 yield piece.filter(pa.array([not hits for hits in items.search(piece.column(at).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
