@@ -1,5 +1,6 @@
 """Each operator against a plain version of itself, and on nulls, empty and long texts, ties, repeats and empty tables."""
 
+import functools
 import hashlib
 import json
 import random
@@ -70,21 +71,26 @@ def test_toxicity_odd_rows(spark):
 # 2 -----------------------------------------------------------------------------------------------------------------------
 
 
-def ids_of(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    return [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
 
+def ids_of(text):
+    return [*library().encode(text or "", add_special_tokens=False).ids, 2]
 
-def test_token_files_round_trip(spark, tmp_path):
+
+def test_token_files_round_trip(spark, tmp_path, monkeypatch):
     from codestrata.llm import token_output as x
 
     texts = [*ODD, "one\ntwo three.\nfour, five", "a<|endoftext|>b", " lead", "trail ", "don't we'll", "x.\n\ny", "a\x1cb c", *[prose(50) for _ in range(60)]]
-    rows = [(i * 7 % 101, t, "en", "s", 0) for i, t in enumerate(texts)] + [(None, "no id", "en", "s", 0), (3, "repeat", "en", "s", 0), (3, "repeat", "en", "s", 0)]
+    rows = [(i * 7 % 101, t, "en", "s", 0) for i, t in enumerate(texts)] + [(None, "no id", "en", "s", 0), (None, None, "en", "s", 0), (3, "repeat", "en", "s", 0), (3, "repeat", "en", "s", 0)]
+    rows += [(55, prose(30), "en", "s", 0) for _ in range(200)]  # one id with most rows: its shards are many
     folder = "file://" + str(tmp_path / "tokens")
     docs = frame(spark, rows).withColumn("shard", F.lit("own"))
-    out = x.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, folder, shard_docs=20)
+    out = x.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, folder, shard_bytes=20_000)
     got = out.collect()
     want = sorted((r[0] is not None, r[0] or 0, zlib.crc32(np.array(ids_of(r[1]), "<u4").tobytes()), len(ids_of(r[1]))) for r in rows)
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["ids_crc32"], r["n_tokens"]) for r in got) == want
@@ -94,16 +100,42 @@ def test_token_files_round_trip(spark, tmp_path):
         start += r["n_tokens"]
     order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
     assert order == sorted(order, key=lambda d: (d is not None, d or 0))
-    whole = {r["start"]: list(r["ids"]) for r in x.read_tokens(spark, folder, ids=True).collect()}
     manifest = json.loads((tmp_path / "tokens/manifest.json").read_text())
-    assert len(manifest["shards"]) > 1
-    first = manifest["shards"][1]
-    assert list(x.read_document(folder, first["shard"], 0)) == whole[first["start"]]
+    assert sum(s["first"] == s["last"] == 55 for s in manifest["shards"]) >= 1
+    whole = x.read_tokens(spark, folder, ids=True).collect()
+    reader = x.TokenReader(folder)
+    for d in (None, 3, 7, 55, 100_000):
+        assert sorted(map(list, reader.find(d))) == sorted(list(r["ids"]) for r in whole if r["doc_id"] == d)
     (tmp_path / "tokens/dictionary.bin").write_bytes(b"other")
     with pytest.raises(ValueError):
         x.read_tokens(spark, folder)
 
 
+def test_token_ids_wider_than_two_bytes(spark, tmp_path):
+    from codestrata.llm import token_output as x
+
+    path, docs = public_tokenizers.path("byte_bpe_50k.json"), docs_of(spark, ["a b", None])
+    got = x.write_tokens(docs, "file://" + str(tmp_path / "wide"), path, end_id=70_000)
+    assert got["id_bytes"] == 4
+    assert sorted(list(r["ids"])[-1] for r in x.read_tokens(spark, "file://" + str(tmp_path / "wide"), ids=True).collect()) == [70_000, 70_000]
+    with pytest.raises(ValueError):
+        x.write_tokens(docs, "file://" + str(tmp_path / "narrow"), path, end_id=70_000, id_bytes=2)
+
+
+def test_encoder_equals_the_library(monkeypatch):
+    from codestrata.llm import token_output as x
+
+    r = random.Random(0)
+    parts = [" ", " ", "\n", "a", "b", "é", "ß", "漢", "😀", "'", "s", "ll", "1", "23", ".", ",", "!", "\t", "\x85", "\u3000", "\u00a0", "\x1c", "-", "«", "\r\n", "ʻ", "Ω", "ª", "²", "\u0301", " don't", "ж", "\0", " hello"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(4000)] + ["x" * 300_000, "ab1." * 50_000, prose(40_000, r)]
+    want = [np.array(ids_of(t)[:-1], "<u4").tobytes() for t in texts]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert x.Encoder(path)(texts) == want
+    monkeypatch.setattr(x, "STRETCH", 700)
+    monkeypatch.setattr(x, "MEMO_PIECES", 50)
+    assert x.Encoder(path)(texts) == want
+
+
 def test_token_files_empty(spark, tmp_path):
     from codestrata.llm import token_output as x
 
@@ -404,10 +436,13 @@ def test_decontamination_recall_and_precision(spark):
     items = [(i, prose(r.choice([6, 12, 30, 55]), r)) for i in range(40)] + [(90, ""), (91, None), (92, items_repeat := prose(12, r)), (93, items_repeat)]
     texts = [*ODD]
     for _, t in items[:40]:
-        for n in (0, 1, len(t.split()) // 5):
+        for n in (0, 1, len(t.split()) // 5, len(t.split()) // 5):
             texts.append(prose(40, r) + " " + " ".join(edit_words(t.upper().split(), n, r)).replace(" ", ", ") + " " + prose(50, r))
+        texts.append(" ".join(t.split()[1:] if len(t.split()) > 6 else t.split()))  # the document ends and begins with the item
     texts += [prose(100, r) for _ in range(60)]
-    docs, bench = docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    texts += texts[20:23]
+    docs = docs_of(spark, texts).withColumns({"item_id": F.lit("own"), "distance": F.lit("own")})
+    bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(g["doc_id"], g["item_id"]): g["distance"] for g in x.leaks(docs, bench).collect()}
     want = {}
     for d, t in enumerate(texts):
@@ -419,11 +454,32 @@ def test_decontamination_recall_and_precision(spark):
     assert all(got[k] == want[k] for k in got if k in want and k[0] != 6)
     assert not [k for k in got if k not in want and k[0] != 6]
     assert len(set(want) & set(got)) >= 0.98 * len(want)
-    clean = {r_["doc_id"] for r_ in x.clean_documents(docs, bench).collect()}
-    assert clean == set(range(len(texts))) - {d for d, _ in got}
+    clean = x.clean_documents(docs, bench)
+    assert clean.columns == docs.columns
+    assert {r_["doc_id"] for r_ in clean.collect()} == set(range(len(texts))) - {d for d, _ in got}
     assert x.leaks(docs, bench.limit(0)).count() == 0 and x.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_walks_find_edited_items_by_themselves():
+    """Recall of the bucket search alone, on items with the most edits that count, against the edits that were made."""
+    from codestrata.llm import decontaminate as x
+
+    r = random.Random(9)
+    items = [(i, prose(r.choice([10, 20, 40, 80]), r).split()) for i in range(120)]
+    index = x.Items(items)
+    assert index.expected >= 0.95
+    found = stray = 0
+    for i, w in items:
+        doc = prose(30, r).split() + edit_words(list(w), len(w) // 5, r) + prose(30, r).split()
+        flat = np.append(index.symbols(doc), np.zeros(80, np.int64))
+        hits = set(index.candidates(flat)[0].tolist())
+        found += i in hits
+        stray += len(hits - {i})
+    assert found >= 0.95 * len(items)
+    unrelated = index.symbols(prose(20_000, r).split())
+    assert len(index.candidates(unrelated)[0]) < 0.02 * len(unrelated) * len(index.sizes)
+
+
 def test_edit_distance_of_best_stretch():
     from codestrata.llm.decontaminate import distance
 
@@ -460,7 +516,7 @@ def test_html(spark):
         assert got[i]["n_chars"] == len(want)
     assert x.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     long = "<article>" + "<p>" + "word " * 200_000 + "</article>"
-    assert len(x.extract(long, x.weights(x.count([long])[0]))) == 5 * 200_000 - 1
+    assert len(x.extract(long, x.weights(x.count([long])))) == 5 * 200_000 - 1
 
 
 # 10 ----------------------------------------------------------------------------------------------------------------------
