@@ -1,17 +1,19 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A term is a word of a text (letters, digits, underscore; lower case), its first four and its first five characters.
-Terms are hashed into 2**18 buckets; a text is the set of its buckets. From labelled texts the buckets whose share
-differs most between toxic and other texts are kept, and a factorization machine is fitted to them:
+Terms are hashed into 2**18 buckets; a text is the set of its buckets. A factorization machine is fitted to labelled texts:
 
     logit = b + sum_i w_i + sum_{i<j} <v_i, v_j>
 
-so that a pair of terms, such as an insult and the mention of a group, can weigh more than the two alone.
+so that a pair of terms, such as an insult and the mention of a group, can weigh more than the two alone. It holds the buckets that
+can carry a weight: those whose own share differs between toxic and other texts (z of LEAST_Z or more), and those
+that matter only with another, found over all pairs of the PAIR_TERMS most frequent buckets by how far the label follows the two
+together beyond each alone (z of LEAST_PAIR_Z or more).
 
 The fit uses at most about `MAX_ROWS` labelled rows of each class, chosen by hash of doc_id; scoring covers every
 whole text in one pass without a shuffle. Defined cases: null and empty texts have no terms and get the score of the
-bias; labels that are null are ignored, of several labels for one doc_id the highest counts; without a label of both
-classes every score is 0; further columns are ignored.
+bias; labels that are null are ignored, of several labels for one doc_id the highest counts; rows that repeat a labelled text
+count once in the fit and are scored each; without a label of both classes every score is 0; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,14 +32,13 @@ from codestrata.llm.common import map_rows, per_worker
 #: About as many labelled rows of each class enter the fit; a bound, whatever the size of the tables.
 MAX_ROWS = 6_000
 BUCKETS = 1 << 18
-#: Buckets kept for the machine, and the least number of texts and the least z score of a kept one.
-KEPT = 2_048
-LEAST_TEXTS = 3
-LEAST_Z = 4.0
+#: Least z scores of a bucket by itself and of a pair, and the buckets whose pairs are tried.
+LEAST_Z, LEAST_PAIR_Z = 4.0, 6.0
+PAIR_TERMS = 1_024
 FACTORS = 8
 EPOCHS = 12
-#: Words whose buckets a worker remembers.
-MEMO = 200_000
+#: Words of at most MEMO_CHARS characters whose buckets a worker remembers: some 16 MB.
+MEMO, MEMO_CHARS = 100_000, 24
 
 _WORD = re.compile(r"\w+")
 
@@ -50,6 +51,37 @@ def buckets_of(word: str) -> tuple[int, ...]:
     return tuple(out)
 
 
+def informative(texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Buckets, ascending, that tell the classes apart by themselves or with another one."""
+    n, n1 = len(texts), int(toxic.sum())
+    count = np.zeros((2, BUCKETS))
+    for t, y in zip(texts, toxic):
+        count[int(y)][t] += 1
+    pooled = count.sum(0) / n
+    z = np.abs(count[1] / n1 - count[0] / (n - n1)) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / (n - n1)) + 1e-12)
+    alone = np.flatnonzero((z >= LEAST_Z) & (pooled < 1))
+    often = np.sort(np.argsort(-count.sum(0), kind="stable")[:PAIR_TERMS])
+    often = often[(pooled[often] > 0) & (pooled[often] < 1)]
+    place = np.full(BUCKETS, -1)
+    place[often] = np.arange(len(often))
+    # of each pair: the label's share against what the two lead to expect, over its spread
+    held = np.zeros((n, len(often)), np.float32)
+    for k, t in enumerate(texts):
+        at = place[t]
+        held[k, at[at >= 0]] = 1
+    held = (held - pooled[often]) / np.sqrt(pooled[often] * (1 - pooled[often]))
+    rest = (toxic - n1 / n).astype(np.float32)
+    rest -= held @ ((held.T @ rest) / n) / max(1.0, len(often) ** 0.5)
+    together = held.T @ (held * rest[:, None])
+    square = held * held
+    spread = np.sqrt(square.T @ (square * (rest * rest)[:, None])) + 1e-6
+    np.fill_diagonal(together, 0)
+    # a pair that few texts hold tells nothing by the normal law
+    both = (held > 0).astype(np.float32)
+    strong = (np.abs(together) / spread >= LEAST_PAIR_Z) & (both.T @ both >= 20)
+    return np.union1d(alone, often[strong.any(1)])
+
+
 @dataclass
 class Machine:
     bias: float
@@ -74,15 +106,8 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     toxic = labels.astype(bool)
     if n == 0 or toxic.all() or not toxic.any():
         return Machine(-np.inf, np.empty(0, int), np.empty(0), np.empty((0, FACTORS)))
-    count = np.zeros((2, BUCKETS))
-    for t, y in zip(texts, toxic):
-        count[int(y)][t] += 1
     n1, n0 = toxic.sum(), (~toxic).sum()
-    p1, p0 = count[1] / n1, count[0] / n0
-    pooled = (count[0] + count[1]) / n
-    z = np.abs(p1 - p0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
-    z[(count.sum(0) < LEAST_TEXTS) | (z < LEAST_Z)] = 0
-    kept = np.sort(np.argsort(-z, kind="stable")[: min(KEPT, int((z > 0).sum()))])
+    kept = informative(texts, toxic)
     place = np.full(BUCKETS, -1)
     place[kept] = np.arange(len(kept))
     rows = [np.unique(p[p >= 0]) for p in (place[t] for t in texts)]
@@ -144,7 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
 
     # about 2 * max_rows rows, so the broadcast has a fixed bound
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int"), "text")
-    got = map_rows(rows, start, "toxic int, buckets binary").collect()
+    got = map_rows(rows, start, "toxic int, buckets binary").distinct()
+    # one doc_id may stand for many rows: the driver takes those of the smallest hashes
+    got = got.orderBy(F.xxhash64("buckets"), "buckets", "toxic").limit(4 * max_rows).collect()
     got = sorted((bytes(r["buckets"]), r["toxic"]) for r in got)  # the same fit in whatever order rows arrive
     return fit([np.frombuffer(b, "<i4") for b, _ in got], np.array([y for _, y in got]))
 
@@ -166,7 +193,7 @@ def _build_scorer(machine: bytes):
                 at = memo.get(word)
                 if at is None:
                     at = tuple(place[b] for b in buckets_of(word) if b in place)
-                    if len(memo) < MEMO:
+                    if len(memo) < MEMO and len(word) <= MEMO_CHARS:
                         memo[word] = at
                 if at:
                     found.update(at)
@@ -179,7 +206,7 @@ def _build_scorer(machine: bytes):
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id, text and score of every row."""
-    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(machine))  # KEPT rows at most
+    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(machine))  # a row for each informative bucket
 
     def start():
         score = _scorer(model.value)

@@ -51,11 +51,44 @@ def test_toxicity_learns_terms_and_pairs(spark):
     got = {r["doc_id"]: r["score"] for r in x.scored(docs, machine).collect()}
     held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum((got[i] >= 0.5) == labels[i] for i in held) / len(held) > 0.97
-    assert len(machine.kept) <= x.KEPT
+    for text in texts[:40]:  # the logit by its definition
+        row = [k for k, b in enumerate(machine.kept.tolist()) if b in {b for w in x._WORD.findall(text.lower()) for b in x.buckets_of(w)}]
+        z = machine.bias + sum(machine.weight[i] for i in row) + sum(float(machine.factor[i] @ machine.factor[j]) for i in row for j in row if i < j)
+        assert got[texts.index(text)] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-6, abs=1e-12)
     kept = {r["doc_id"] for r in x.kept_documents(docs, machine).collect()}
     assert kept == {i for i in range(900) if got[i] < 0.5}
 
 
+def test_toxicity_learns_terms_that_matter_only_in_pairs(monkeypatch):
+    """The label is "both or neither": no term tells anything by itself, and no sum of weights gets more than three cases of four right."""
+    from codestrata.llm import toxicity as x
+
+    r = random.Random(3)
+    texts, labels = [], []
+    for _ in range(3000):
+        insult, group = r.random() < 0.5, r.random() < 0.5
+        t = prose(30, r) + (" dolt" if insult else "") + (" martians" if group else "")
+        texts.append(np.array(sorted({b for w in t.split() for b in x.buckets_of(w)})))
+        labels.append(insult == group)
+    y = np.array(labels)
+    m = x.fit(texts[:2400], y[:2400])
+    place = {b: k for k, b in enumerate(m.kept.tolist())}
+    rows = [[place[b] for b in t.tolist() if b in place] for t in texts[2400:]]
+    assert ((m.logit(rows) >= 0) == y[2400:]).mean() > 0.95
+    monkeypatch.setattr(x, "FACTORS", 0)
+    additive = x.fit(texts[:2400], y[:2400])
+    assert ((additive.logit(rows) >= 0) == y[2400:]).mean() < 0.8
+
+
+def test_toxicity_repeated_rows(spark):
+    from codestrata.llm import toxicity as x
+
+    docs = docs_of(spark, ["you dolt", "fine words"] * 40)
+    known = spark.createDataFrame([(i, 0, 1 - i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
+    out = x.scored(docs, x.train(docs, known)).collect()
+    assert len(out) == 80 and len({r["score"] for r in out}) <= 2
+
+
 def test_toxicity_odd_rows(spark):
     from codestrata.llm import toxicity as x
 
