@@ -403,12 +403,28 @@ def test_pii_redacts(spark):
 # 7 -----------------------------------------------------------------------------------------------------------------------
 
 
-def test_water_fill():
-    from codestrata.llm.mixing import water_fill
+def water_fill(sizes, weights, budget, max_repeat):
+    """Shares by weight; one above its cap stops there and the rest is shared again until none is."""
+    target, left, open_ = [0.0] * len(sizes), float(budget), [i for i in range(len(sizes)) if weights[i] > 0]
+    while open_:
+        total = sum(weights[i] for i in open_)
+        over = {i for i in open_ if left * weights[i] / total > max_repeat * sizes[i]}
+        for i in over or open_:
+            target[i] = float(max_repeat * sizes[i]) if over else left * weights[i] / total
+        if not over:
+            break
+        left -= sum(target[i] for i in over)
+        open_ = [i for i in open_ if i not in over]
+    return target
+
+
+def test_targets(spark):
+    from codestrata.llm import mixing as x
 
-    assert water_fill([100, 100, 100], [3, 1, 2], 450, 2) == [200.0, 250 / 3, 500 / 3]
-    assert water_fill([10, 1000], [1, 1], 500, 2) == [20.0, 480.0]
-    assert water_fill([], [], 0, 2) == []
+    for sizes, weights, share in (([100, 100, 100], (3, 1, 2), 1.5), ([10, 1000], (1, 1), 0.5), ([1, 5, 50, 500, 0, 7, 90], (3, 1, 2), 1.5), ([4, 4], (1, 0), 1.5)):
+        light = spark.createDataFrame([(f"s{i}", n, i) for i, n in enumerate(sizes)], "_s string, size long, _h long")
+        got = [r["target"] for r in x._targets(light, weights, share, 2).orderBy("_s").collect()]
+        assert got == pytest.approx(water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), 2))
 
 
 def test_mixing(spark, monkeypatch):
@@ -428,12 +444,21 @@ def test_mixing(spark, monkeypatch):
         by.setdefault(g["source"], []).append(g)
     words = {s: sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _, src, _ in rows if src == s) for s in by}
     order = sorted(by, key=lambda s: (s is None, s or ""))
-    targets = x.water_fill([words[s] for s in order], [(3, 1, 2)[k % 3] for k in range(len(order))], 1.5 * sum(words.values()), 2)
+    targets = water_fill([words[s] for s in order], [(3, 1, 2)[k % 3] for k in range(len(order))], 1.5 * sum(words.values()), 2)
     for s, t in zip(order, targets):
         assert by[s][0]["source_size"] == words[s]
         assert by[s][0]["target"] == pytest.approx(t)
         assert abs(sum(g["taken"] for g in by[s]) - t) <= 30
-    assert x.mixed(docs).count() == sum(g["taken"] // g["size"] for g in got if g["size"])
+    out = x.mixed(docs.withColumns({"_h": F.lit("own"), "_copies": F.lit("own")}))
+    assert out.columns == [*docs.columns, "_h", "_copies"]
+    copies = sorted((g["doc_id"] or -1, g["source"] or "", g["taken"] // g["size"]) for g in got if g["taken"])
+    found = {}
+    for r_ in out.collect():
+        assert r_["_h"] == "own"
+        found[r_["doc_id"] or -1, r_["source"] or "", r_["text"]] = found.get((r_["doc_id"] or -1, r_["source"] or "", r_["text"]), 0) + 1
+    assert sum(c for *_, c in copies) == sum(found.values())
+    long = frame(spark, [(1, prose(30_000), "en", "a", 0), (2, None, "en", None, 0)])
+    assert sorted((g["source"] or "", g["taken"] // max(1, g["size"])) for g in x.mix_plan(long, ["doc_id"]).collect()) == [("", 0), ("a", 1)]
     assert x.mix_plan(docs.limit(0), ["doc_id"]).count() == 0
 
 
