@@ -1,17 +1,19 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-1. Document frequencies of the templates' terms are counted over all files. A term that no template has weighs as
-   one seen in a single file, so words around a licence text lower its cosine.
+1. Document frequencies of the templates' terms are counted over all files, and how many licences have them. A term that no
+   template has weighs as one seen in a single file, so words around a licence text lower its cosine.
 2. Units of a file are its lines, the whole file, and within each run of neighbouring lines that each resemble a licence
    text (blank lines do not end it) every sequence of its paragraphs. The share of a unit's norm that lies in the templates' terms bounds its cosine
-   with any of them; units whose bound is below the threshold are passed over. The best cosine of a file, if it reaches
-   the threshold, names its licence.
+   with any of them; units whose bound is below the threshold are passed over. A template matches from a cosine of THRESHOLD on,
+   one of more than SHORT distinct terms from LONG_THRESHOLD on, as long legal texts resemble each other. Of the matches in a file that with the
+   most evidence, its cosine times the root of the template's distinct terms, names the licence: a whole text outweighs the
+   words "All rights reserved" above it.
 3. A file without one takes the licence of the licence file (LICENSE, COPYING, NOTICE ...) in the nearest directory above
    it: directories, not files, are expanded into their ancestors and joined by path.
 
 Defined cases: null and empty texts have no licence of their own; a null path has no directory and inherits nothing; of
 several licence files in a directory the one with the best score counts, then the smaller licence name; equal scores in a
-file go to the smaller name; repeated rows are reported each; an empty table gives an empty result.
+file go to the earlier unit, then the smaller name; repeated rows are reported each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from pyspark.sql import functions as F
 from codestrata.llm.common import map_rows, per_worker, small, written
 
 THRESHOLD = 0.6
+SHORT, LONG_THRESHOLD = 14, 0.75
+#: Rarity among licences of a term that all have, and that counted for a term that none has.
+FLOOR, OTHER = 0.1, 1.0
 #: A line with at least this bound may be part of a run.
 RUN_BOUND = 0.35
 
@@ -62,19 +67,66 @@ TEMPLATES = {
 }
 _TEXTS = {
     "0BSD": [f"{_PERMISSION}. {_AS_IS}"],
-    "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
-    "Apache-2.0": ["Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
+    "AGPL-3.0": [
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ],
+    "Apache-2.0": [
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    ],
+    "Artistic-1.0": [
+        'The "Artistic License"',
+        "The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package, while giving the users of the package the right to use and distribute the Package in a more-or-less customary fashion, plus the right to make reasonable modifications.",
+    ],
     "BSD-2-Clause": [f"{_BSD} {_BSD_AS_IS}"],
     "BSD-3-Clause": [f"{_BSD} {_BSD_NAMES} {_BSD_AS_IS}"],
-    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
-    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "CC0-1.0": ["Creative Commons Legal Code CC0 1.0 Universal"],
+    "GFDL-1.2": ["GNU Free Documentation License Version 1.2, November 2002"],
+    "GFDL-1.3": ["GNU Free Documentation License Version 1.3, 3 November 2008"],
+    "GPL-1.0": [
+        "GNU GENERAL PUBLIC LICENSE Version 1, February 1989",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version",
+    ],
+    "GPL-2.0": [
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+        "This General Public License applies to most of the Free Software Foundation's software and to any other program whose authors commit to using it. (Some other Free Software Foundation software is covered by the GNU Lesser General Public License instead.) You can apply it to your programs, too.",
+    ],
+    "GPL-3.0": [
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ],
     "ISC": [f"{_PERMISSION}, provided that the above copyright notice and this permission notice appear in all copies. {_AS_IS}"],
-    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "LGPL-2.0": [
+        "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    ],
+    "LGPL-2.1": [
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+        "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it.",
+        "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    ],
+    "LGPL-3.0": [
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+        "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ],
     "MIT": [_MIT],
-    "MPL-2.0": ["Mozilla Public License Version 2.0"],
+    "MPL-1.1": [
+        "MOZILLA PUBLIC LICENSE Version 1.1",
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/",
+    ],
+    "MPL-2.0": [
+        "Mozilla Public License Version 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ],
 }
 for _name, _more in _TEXTS.items():
-    TEMPLATES[_name] = TEMPLATES[_name] + _more
+    TEMPLATES[_name] = TEMPLATES.get(_name, []) + _more
 LICENCE_FILE = r"(?i)^(?:un)?licen[cs]e|^copying|^notice|^copyright"
 
 _TERM = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -89,14 +141,18 @@ class Matcher:
 
     def __init__(self, frequency: dict[str, int], files: int):
         vocabulary = {t for texts in TEMPLATES.values() for text in texts for t in terms(text)}
-        self.top = math.log((1 + files) / 2) + 1  # of a term in one file
-        self.idf = {t: math.log((1 + files) / (1 + max(1, frequency.get(t, 0)))) + 1 for t in vocabulary}
+        self.top = (math.log((1 + files) / 2) + 1) * OTHER  # of a term in one file and in no template
+        # a term counts by its rarity among files and among licences
+        among = Counter(t for texts in TEMPLATES.values() for t in {t for text in texts for t in terms(text)})
+        self.idf = {t: (math.log((1 + files) / (1 + max(1, frequency.get(t, 0)))) + 1) * (math.log(len(TEMPLATES) / among[t]) + FLOOR) for t in vocabulary}
         self.templates = []
         for name in sorted(TEMPLATES):
             for text in TEMPLATES[name]:
                 vector = {t: n * self.idf[t] for t, n in Counter(terms(text)).items()}
                 norm = math.sqrt(sum(w * w for w in vector.values()))
                 self.templates.append((name, {t: w / norm for t, w in vector.items()}))
+        self.mass = [math.sqrt(len(t)) for _, t in self.templates]
+        self.least = [LONG_THRESHOLD if len(t) > SHORT else THRESHOLD for _, t in self.templates]
 
     def bound(self, words: list[str]) -> float:
         """The most that the cosine with any template can be."""
@@ -112,24 +168,26 @@ class Matcher:
             return 0.0
         return sum(n * n for n in Counter(w for w in words if w not in self.idf).values()) * self.top**2
 
-    def best(self, words: list[str]) -> tuple[float, str | None]:
+    def best(self, words: list[str]) -> tuple[float, float, str | None]:
+        """(evidence, cosine, licence) of the template with the most evidence; 0 and None without a match."""
         known = Counter(w for w in words if w in self.idf)
-        if not known:
-            return 0.0, None
         unit = {t: n * self.idf[t] for t, n in known.items()}
-        norm = math.sqrt(sum(w * w for w in unit.values()) + self._rest(words, list(known.elements())))
-        top, name = 0.0, None
-        for licence, template in self.templates:
-            score = sum(w * template[t] for t, w in unit.items() if t in template) / norm
-            if score > top + 1e-12:  # names stand in order, so ties go to the smaller
-                top, name = score, licence
-        return top, name
-
-    def best_sequence(self, run: list[tuple[int, list[str]]]) -> tuple[float, str | None, int]:
+        norm = math.sqrt(sum(w * w for w in unit.values()) + self._rest(words, list(known.elements()))) or 1.0
+        return self._chosen([sum(w * template[t] for t, w in unit.items() if t in template) / norm for _, template in self.templates])
+
+    def _chosen(self, cosines: list[float]) -> tuple[float, float, str | None]:
+        top: tuple[float, float, str | None] = (0.0, 0.0, None)
+        for k, cosine in enumerate(cosines):
+            # names stand in order, so ties go to the smaller
+            if cosine >= self.least[k] and cosine * self.mass[k] > top[0] + 1e-12:
+                top = (cosine * self.mass[k], cosine, self.templates[k][0])
+        return top
+
+    def best_sequence(self, run: list[tuple[int, list[str]]]) -> tuple[tuple[float, float, str | None], int]:
         """The best of all sequences of neighbouring paragraphs: products with a template add up, norms by term."""
         counts = [Counter(words) for _, words in run]
         products = [[sum(n * self.idf[w] * template[w] for w, n in c.items() if w in template) for _, template in self.templates] for c in counts]
-        top, name, line = 0.0, None, 0
+        top, line = (0.0, 0.0, None), 0
         for i, (start, _) in enumerate(run):
             seen: Counter = Counter()
             norm2, total = 0.0, [0.0] * len(self.templates)
@@ -138,17 +196,17 @@ class Matcher:
                     norm2 += (2 * seen[w] + n) * n * self.idf.get(w, self.top) ** 2
                     seen[w] += n
                 total = [x + y for x, y in zip(total, products[j])]
-                k = max(range(len(total)), key=total.__getitem__)  # names stand in order, so ties go to the smaller
-                score = total[k] / math.sqrt(norm2)
-                if score > top + 1e-12:
-                    top, name, line = score, self.templates[k][0], start
-        return top, name, line
+                norm = math.sqrt(norm2)
+                found = self._chosen([x / norm for x in total])
+                if found[0] > top[0] + 1e-12:
+                    top, line = found, start
+        return top, line
 
     def of_file(self, text: str | None) -> tuple[str | None, float | None, int | None]:
-        """(licence, score, line) of the best unit at or above the threshold; a whole file counts as line 0."""
+        """(licence, cosine, line) of the match with the most evidence; a whole file counts as line 0."""
         if not text:
             return None, None, None
-        best: tuple[float, str | None, int] = (0.0, None, 0)
+        best, at_line = (0.0, 0.0, None), 0
         run: list[tuple[int, list[str]]] = []  # paragraphs: first line, words
         lines, broken, whole = 0, False, []
         for at, line in enumerate([*text.split("\n"), None]):
@@ -159,9 +217,9 @@ class Matcher:
                 continue
             bound = self.bound(words)
             if bound >= THRESHOLD:
-                score, name = self.best(words)
-                if score > best[0] + 1e-12:
-                    best = (score, name, at)
+                found = self.best(words)
+                if found[0] > best[0] + 1e-12:
+                    best, at_line = found, at
             if bound >= RUN_BOUND:
                 if not run or broken:
                     run.append((at, []))
@@ -169,15 +227,15 @@ class Matcher:
                 lines, broken = lines + 1, False
                 continue
             if lines > 1:
-                score, name, start = self.best_sequence(run)
-                if score > best[0] + 1e-12:
-                    best = (score, name, start)
+                found, start = self.best_sequence(run)
+                if found[0] > best[0] + 1e-12:
+                    best, at_line = found, start
             run, lines, broken = [], 0, False
         if "\n" in text and self.bound(whole) >= THRESHOLD:
-            score, name = self.best(whole)
-            if score > best[0] + 1e-12:
-                best = (score, name, 0)
-        return (best[1], best[0], best[2]) if best[0] >= THRESHOLD else (None, None, None)
+            found = self.best(whole)
+            if found[0] > best[0] + 1e-12:
+                best, at_line = found, 0
+        return (best[2], best[1], at_line) if best[2] else (None, None, None)
 
 
 def term_frequencies(files: DataFrame) -> dict[str, int]:
