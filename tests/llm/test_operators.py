@@ -392,6 +392,34 @@ def test_pii_base_and_added(spark):
     assert x.found_spans(docs.limit(0)).count() == 0
 
 
+def test_pii_rejects_look_alikes(spark):
+    """Every kind has look-alikes; what the trees see holds no check, and the thresholds come from other documents."""
+    from codestrata.llm import pii as x
+
+    r = random.Random(4)
+    cards = [str(c) for c in range(4041894974600000, 4041894974606000) if luhn(str(c))]
+    texts = []
+    for i in range(600):
+        card = r.choice(cards) if i % 2 else str(r.randrange(10**15, 10**16))
+        card = r.choice([card, " ".join(card[k : k + 4] for k in range(0, 16, 4))])
+        texts.append(
+            f"{prose(4, r)} user{i}.x@mail{i}.example.com {prose(3, r)} 10.{i % 250}.7.{i % 99} {prose(2, r)} +49 171 555{i:04d} {prose(2, r)} {card}. We look at home. Then {r.randint(1, 9)},{r.randint(10, 99)},{r.randint(10, 99)},{r.randint(10, 99)} and dinner @ eight. Bring it"
+        )
+    probes = ["dinner @ eight. Bring wine", "take 10,20,30,40 of them", "years (020) 2024 2025 2026", "write jane.doe(at)mail.example.com", "host 10[.]20[.]30[.]40 is up"]
+    got = {row["doc_id"]: row for row in x.found_spans(docs_of(spark, texts + probes)).collect()}
+    assert [got[600 + k]["n_added"] for k in range(len(probes))] == [0, 0, 0, 1, 1]
+    assert sum(got[k]["n_added"] for k in range(600)) <= 6
+
+
+def test_pii_threshold():
+    from codestrata.llm import pii as x
+
+    assert x.threshold([]) == 1e9 and x.threshold([(3.0, 0, 5)]) == 1e9
+    assert x.threshold([(3.0, 90, 90), (2.0, 7, 10), (1.0, 2, 50)]) == 2.5
+    assert x.threshold([(3.0, 50, 50), (2.0, 48, 49), (-1.0, 0, 20)]) == 0.5
+    assert x.threshold([(3.0, 50, 50)]) == 1.5 and x.threshold([(-3.0, 50, 50)]) == 0.0
+
+
 def test_pii_redacts(spark):
     from codestrata.llm import pii as x
 
