@@ -25,10 +25,12 @@ BROADCAST_ROWS = 500_000
 def work_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, the folder that driver and executors share.
 
-    Only where that setting is missing (tests, local mode) a temporary folder is made and set.
+    Only where that setting is missing and all runs in one process (tests) a temporary folder is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="codestrata-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/codestrata-{uuid.uuid4().hex}"
