@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The frame, checkpointed below spark.checkpoint.dir; a temporary folder is set only where that is unset."""
+    """The frame, checkpointed below spark.checkpoint.dir; a temporary folder is set only where that is unset and all runs in one process."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codestrata-"))
     return df.checkpoint()
 

@@ -169,6 +169,8 @@ def _run(pdf: pd.DataFrame, k: int | None, stop: float, weight: float, score: st
         vectors /= vectors.sum(1, keepdims=True)
         k = max(5, min(20, int(math.sqrt(n)))) if k is None else k
     found = merge_loop(n, sums, vectors, k, stop, weight, score, to_end)
+    if score == "link":
+        found.sort(key=lambda members: names[members[0]])  # a cluster goes by the entity that it grew from
     return [(names[m], c) for c, members in enumerate(found) for m in members]
 
 
@@ -209,7 +211,8 @@ def wca(graph: CodeGraph, measure: str = "uem", num_clusters: int | None = None,
     """R2c."""
     rows = _matrix_rows(graph, similar_pairs(graph.known_edges(), measure), None)
     clusters = cut_lineage(_kernel(rows, lambda pdf: _run(pdf, num_clusters, stop, 1.0, "link", True)))
-    names = cluster_names(graph, clusters).withColumn("responsibility", F.concat(F.lit("Cluster of entities around "), "name"))
+    names = cluster_names(graph, clusters).withColumn("responsibility", F.lit(None).cast("string")).join(clusters.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
+    names = names.withColumn("responsibility", F.concat(F.lit("Cluster of "), F.col("size").cast("string"), F.lit(" entities")))
     return _architecture(graph, clusters, "wca", f"Weighted combined clustering ({measure})", names, True)
 
 

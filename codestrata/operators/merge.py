@@ -29,7 +29,7 @@ def union(graphs: list[CodeGraph]) -> CodeGraph:
     last = F.row_number().over(w.orderBy(F.desc("g"), F.desc("entity_seq")))
     e = e.withColumns({"_place": place, "_r": last}).where("_r = 1")
     e = e.withColumn("entity_seq", F.col("_place.g") * F.lit(1 << 40) + F.col("_place.entity_seq")).drop("g", "_place", "_r")
-    edges = _numbered([g.edges for g in graphs]).withColumn("edge_seq", F.col("edge_seq")).drop("g")
+    edges = _numbered([g.edges for g in graphs]).withColumn("edge_seq", F.col("g") * F.lit(1 << 40) + F.col("edge_seq")).drop("g")
     p = _numbered([g.package_rows() for g in graphs])
     p = p.groupBy("package", "fqn").agg(F.min(F.col("g") * F.lit(1 << 40) + F.col("pos")).alias("pos"))
     return CodeGraph(e, edges, p)
@@ -66,7 +66,7 @@ def merge(graphs: list[CodeGraph]) -> CodeGraph:
         r = renamed.select("g", F.col("fqn").alias(column), F.col("new_fqn").alias("_new"))
         return df.join(r, ["g", column], "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
-    edges = remap(remap(_numbered([g.edges for g in graphs]), "source"), "target").select("source", "target", "relation", "edge_seq")
+    edges = remap(remap(_numbered([g.edges for g in graphs]), "source"), "target").select("source", "target", "relation", (F.col("g") * F.lit(1 << 40) + F.col("edge_seq")).alias("edge_seq"))
     p = remap(_numbered([g.package_rows() for g in graphs]), "fqn")
     p = p.groupBy("package", "fqn").agg(F.min(F.col("g") * F.lit(1 << 40) + F.col("pos")).alias("pos"))
     graph = CodeGraph(e, edges, p, meta)

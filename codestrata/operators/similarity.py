@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEASURES = ("jaccard", "uem", "scm")
+MEASURES = ("js", "jaccard", "uem", "scm")  # js and jaccard are one
 
 
 def _shared(links: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def similar_pairs(edges: DataFrame, measure: str = "uem") -> DataFrame:
     if measure == "uem":
         return both.select("a", "b", (2 * F.col("n_shared") / (F.col("na") + F.col("nb"))).alias("similarity"))
     forward = both.select("a", "b", jaccard.alias("similarity"))
-    if measure == "jaccard":
+    if measure in ("js", "jaccard"):
         return forward
     backward = _with_sizes(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).select("a", "b", jaccard.alias("similarity"))
     return forward.unionByName(backward).groupBy("a", "b").agg((F.sum("similarity") / 2).alias("similarity"))

@@ -46,20 +46,22 @@ def walk_cone(edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int
     return Cone(out.orderBy("distance", "fqn").limit(max_nodes), out.limit(max_nodes + 1).count() > max_nodes)
 
 
-def resolve_seed(graph: CodeGraph, target: str) -> tuple[DataFrame, str, list[str]]:
-    """(seeds, how they were matched, candidate files if that is ambiguous). An exact name, else an exact path,
-    else the one file whose path ends so."""
+def resolve_seed(graph: CodeGraph, target: str) -> tuple[DataFrame, str | None, list[str]]:
+    """(seeds, "entity", "file" or None, candidate files if that is ambiguous). An exact name, else an exact path, else the
+    one file whose path ends so, or that ends the target."""
     e = graph.entities.select("fqn", F.regexp_replace("file_path", r"\\", "/").alias("file_path"))
     path = target.replace("\\", "/")
-    for how, cond in (("fqn", F.col("fqn") == target), ("path", F.col("file_path") == path)):
+    for how, cond in (("entity", F.col("fqn") == target), ("file", F.col("file_path") == path)):
         hit = e.where(cond)
         if hit.limit(1).count():
             return hit.select("fqn"), how, []
-    hit = e.where(F.endswith("file_path", F.lit("/" + path.lstrip("/"))))
-    files = [r[0] for r in hit.select("file_path").distinct().orderBy("file_path").limit(100).collect()]
+    parts = path.strip("/").split("/")
+    ends = ["/".join(parts[k:]) for k in range(len(parts))]
+    hit = e.where(F.endswith("file_path", F.lit("/" + path.lstrip("/"))) | F.col("file_path").isin(ends))
+    files = [r[0] for r in hit.select("file_path").distinct().orderBy("file_path").collect()]  # of one file name
     if len(files) > 1:
-        return hit.select("fqn").limit(0), "ambiguous", files
-    return hit.select("fqn"), "path_suffix" if files else "none", []
+        return hit.select("fqn").limit(0), None, files
+    return hit.select("fqn"), "file" if files else None, []
 
 
 def cone_files(graph: CodeGraph, cone: DataFrame) -> DataFrame:

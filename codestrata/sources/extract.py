@@ -116,7 +116,11 @@ def python(rel_path: str, text: str) -> Facts:
 _LITERAL = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"\"\".*?(?:\"\"\"|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`[^`]*`?", re.S)
 
 
-def blank(text: str, keep: str = "") -> str:
+#: The same with regular expressions, which stand where a value may begin.
+_LITERAL_OR_PATTERN = re.compile(_LITERAL.pattern + r"|(?<=[=(,:;!&|?{}\[+\n])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*", re.S)
+
+
+def blank(text: str, keep: str = "", patterns: bool = False) -> str:
     """Comments and the insides of literals as spaces, so that positions stay. keep: quotes whose text is needed."""
 
     def wipe(m: re.Match) -> str:
@@ -125,7 +129,7 @@ def blank(text: str, keep: str = "") -> str:
             return s
         return re.sub(r"[^\n]", " ", s)
 
-    return _LITERAL.sub(wipe, text)
+    return (_LITERAL_OR_PATTERN if patterns else _LITERAL).sub(wipe, text)
 
 
 def depths(code: str) -> list[int]:
@@ -150,12 +154,16 @@ def _end(code: str, at: int) -> int:
     return len(code)
 
 
+def _bare(text: str) -> str:
+    """Without type parameters and arguments."""
+    while (cut := re.sub(r"<[^<>]*>", "", text)) != text:
+        text = cut
+    return text
+
+
 def _types(text: str) -> list[str]:
     """Type names of a comma-separated list, type arguments dropped."""
-    flat = text
-    while (cut := re.sub(r"<[^<>]*>", "", flat)) != flat:
-        flat = cut
-    return [m.group() for part in flat.split(",") if (m := re.search(r"[A-Za-z_][\w.]*", part))]
+    return [m.group() for part in _bare(text).split(",") if (m := re.search(r"[A-Za-z_][\w.]*", part))]
 
 
 _NOT_METHODS = frozenset("if for while switch catch return new throw synchronized else try do super this assert when yield".split())
@@ -170,10 +178,10 @@ def java(rel_path: str, text: str) -> Facts:
     out.imports = [(m[1], []) for m in re.finditer(r"^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;", code, re.M)]
     flat = [m for m, _ in out.imports]
     dot = f"{out.package}." if out.package else ""
-    for m in re.finditer(r"\b(class|interface|enum)\s+([A-Za-z_]\w*)([^{;]*)\{", code):
+    for m in re.finditer(r"(?<!@)\b(class|interface|enum)\s+([A-Za-z_]\w*)([^{;]*)\{", code):
         if depth[m.start()] != 0:
             continue
-        head = m[3]
+        head = _bare(m[3])
         sup = re.search(r"\bextends\s+([A-Za-z_][\w.]*)", head) if m[1] == "class" else None
         impl = re.search(r"\bimplements\s+(.*)", head, re.S)
         fqn = dot + m[2]
@@ -262,6 +270,15 @@ def go(rel_path: str, text: str) -> Facts:
         else:
             d = Declared(dot + m[4], m[4], "function", flat)
         heads.append((m.start(), m.end(), d))
+    for group in re.finditer(r"^type\s*\(", code, re.M):
+        level, end = 1, group.end()
+        while end < len(code) and level:
+            level += (code[end] == "(") - (code[end] == ")")
+            end += 1
+        for m in re.finditer(r"^[ \t]*([A-Za-z_]\w*)\s*(?:\[[^\]]*\]\s*)?=?\s*(struct|interface)?", code[group.end() : end], re.M):
+            if depth[group.end() + m.start(1)] == 0:
+                heads.append((group.end() + m.start(1), group.end() + m.end(), Declared(dot + m[1], m[1], m[2] or "type", flat)))
+    heads.sort(key=lambda h: h[0])
     for k, (start, _, d) in enumerate(heads):
         body = code[start : heads[k + 1][0] if k + 1 < len(heads) else len(code)]
         qualified = set(re.findall(r"\b([A-Za-z_]\w*\.[A-Z]\w*)", body))
@@ -277,12 +294,16 @@ def typescript(rel_path: str, text: str) -> Facts:
         return Facts()
     module = re.sub(r"\.(?:d\.ts|tsx?|jsx?|mjs|cjs)$", "", rel_path)
     out = Facts(package="/".join(module.split("/")[:-1]))
-    kept = blank(text, keep="\"'")
-    for m in re.finditer(r"\bimport\s+(?:type\s+)?(?:[\w$*]+(?:\s+as\s+\w+)?\s*,?\s*)?(?:\{([^}]*)\}\s*)?from\s*[\"']([^\"']+)[\"']", kept):
-        names = [n.split(" as ")[0].replace("type ", "").strip() for n in (m[1] or "").split(",")]
-        out.imports.append((m[2], [n for n in names if n]))
+    kept = blank(text, keep="\"'", patterns=True)
+    for m in re.finditer(r"\bimport\s+(?:type\s+)?(?:([\w$*]+)(?:\s+as\s+(\w+))?\s*,?\s*)?(?:\{([^}]*)\}\s*)?from\s*[\"']([^\"']+)[\"']", kept):
+        names = [n.split(" as ")[0].replace("type ", "").strip() for n in (m[3] or "").split(",")]
+        if m[1] and m[1] != "*":
+            names.append(m[1])  # a default import goes by its local name
+        elif m[2]:
+            names += sorted(set(re.findall(rf"\b{m[2]}\.([A-Za-z_$][\w$]*)", kept)))  # of a namespace, what is used
+        out.imports.append((m[4], [n for n in names if n]))
     flat = [m for m, _ in out.imports]
-    code = blank(text)
+    code = blank(text, patterns=True)
     depth = depths(code)
     head = re.compile(
         r"\b(?:(class|interface|enum)\s+([A-Za-z_$][\w$]*)([^{;]*)\{|function\s*\*?\s*([A-Za-z_$][\w$]*)\s*[(<]|const\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>)"

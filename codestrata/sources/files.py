@@ -138,14 +138,16 @@ def content_key(rel_path: Column, content: Column) -> Column:
     return F.sha2(F.concat(F.encode(rel_path, "UTF-8"), F.unhex(F.lit("00")), content), 256)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def cached_facts(spark: SparkSession, files: DataFrame, contents: DataFrame, cache: str) -> DataFrame:
     """Facts from the table `cache`; new ones are extracted and appended, whatever is read of it is a hit."""
     keyed = contents.select("path", "content").join(files.select("path", "rel_path"), "path").select("path", "rel_path", content_key(F.col("rel_path"), F.col("content")).alias("key"))
-    try:
-        known = spark.read.schema(spark.createDataFrame([], FACTS).withColumn("key", F.lit("")).schema).parquet(cache)
-        known.limit(1).count()
-    except Exception:  # no table yet, or one that cannot be read: every file is a miss
-        known = None
+    # only a missing table makes every file a miss; one that cannot be read is an error, not a reason to write over it
+    known = spark.read.schema(spark.createDataFrame([], FACTS).withColumn("key", F.lit("")).schema).parquet(cache) if exists(spark, cache) else None
     missing = keyed if known is None else keyed.join(known.select("key"), "key", "left_anti")
     new = facts_of(files.join(missing.select("path"), "path", "left_semi"), contents).join(missing.select("rel_path", "key"), "rel_path")
     new.write.mode("append" if known is not None else "overwrite").parquet(cache)

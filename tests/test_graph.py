@@ -107,7 +107,7 @@ def test_cone(spark):
 
 def test_seed_resolution_and_impact(spark):
     g = graph_of(spark, [("m.A", "class", "java", "m", "src/m/A.java"), ("m.B", "class", "java", "m", "src/m/B.java"), ("n.A2", "class", "java", "n", "src/n/A.java")], [("m.B", "m.A", "import"), ("n.A2", "m.B", "import")])
-    assert traverse.resolve_seed(g, "m.A")[1] == "fqn" and traverse.resolve_seed(g, "src\\m\\A.java")[1] == "path"
+    assert traverse.resolve_seed(g, "m.A")[1] == "entity" and traverse.resolve_seed(g, "src\\m\\A.java")[1] == "file" and traverse.resolve_seed(g, "/home/x/src/m/A.java")[1] == "file" and traverse.resolve_seed(g, "zzz")[1] is None
     assert traverse.dependency_cone(g, "A.java")["candidate_files"] == ["src/m/A.java", "src/n/A.java"]
     assert traverse.dependency_cone(g, "m/A.java")["downstream"]["num_nodes"] == 2
     assert "note" in traverse.dependency_cone(g, "zzz") and "error" in traverse.dependency_cone(g, "m.A", "sideways")
@@ -226,11 +226,15 @@ def test_compare(spark):
     assert out["summary"]["components_added"] == 1 and out["summary"]["components_removed"] == 0
 
 
-def test_snapshot_names():
-    snap = {"components": [{"name": "Core", "entities": ["a.b.x.F", "a.b.x.G"]}, {"name": "Core2", "entities": ["a.c.H"]}, {"name": "Api", "entities": ["z.Y", "q.T"]}], "component_dependencies": [{"source": "Core", "target": "Core2"}]}
-    out = compare.normalised(snap)
-    assert [c["comparison_name"] for c in out["components"]] == ["Core", "C", "Api"]
-    assert out["component_dependencies"] == [{"source": "Core", "target": "C"}] and compare.normalised(None) is None
+def test_snapshot_names(spark):
+    rows = [(0, "Core", ["a.b.x.F", "a.b.x.G"]), (1, "Core2", ["a.c.H"]), (2, "Api", ["z.Y", "q.T"]), (3, "Api", ["web.http2api.V", "web.http2api.W"]), (4, "Api", ["m.n.o.K", "m.x.T", "q.r.T"]), (5, "default", []), (6, "default", None), (7, "cluster_3", ["s.t.A", "s.t.B"]), (8, "C", ["u.V"])]
+    c = compare.comparison_names(spark.createDataFrame(rows, "pos int, name string, entities array<string>"))
+    found = {r["pos"]: r["comparison_name"] for r in c.collect()}
+    assert found == {0: "Core", 1: "C", 2: "Q", 3: "Http2Api", 4: "MN", 5: "default", 6: "default2", 7: "T", 8: "C2"}
+    deps = spark.createDataFrame([(0, "Core", "Core2"), (1, "Api", "Api"), (2, "Api", "Api"), (3, "gone", "Core")], "pos int, source string, target string")
+    got = [tuple(r) for r in compare.compared_dependencies(c, deps).orderBy("pos").collect()]
+    assert got == [(0, "Core", "C"), (1, "Q", "Http2Api"), (2, "MN", "MN"), (3, "gone", "Core")]
+    assert compare.comparison_names(spark.createDataFrame([], "pos int, name string, entities array<string>")).count() == 0
 
 
 def test_relink_is_idempotent(spark):

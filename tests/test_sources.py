@@ -155,6 +155,55 @@ def test_budget():
     data = {"graph": {"entities": {f"e{i}": {"kind": "class", "x": "y" * 20} for i in range(100)}, "edges": [{"relation": "import"}] * 50, "packages": {f"p{i}": [] for i in range(10)}}, "architecture": {"components": [{"name": f"c{i}", "entities": [f"e{j}" for j in range(20)]} for i in range(10)]}}
     sizes = [service.estimate_tokens(service.truncate_result(data, n)) for n in (10_000, 1500, 1000, 700, 400, 200, 100)]
     assert sizes == sorted(sizes, reverse=True) and sizes[0] == service.estimate_tokens(data)
+    assert service.truncate_result(data, 1) == {
+        "graph": {"num_entities": 100, "num_edges": 50, "edge_summary": {"import": 50}, "entity_summary": {"class": 100}, "num_packages": 10},
+        "architecture": {"components": [{"name": f"c{i}", "num_entities": 10} for i in range(10)]},
+    }
+    assert len(data["graph"]["edges"]) == 50 and service.truncate_result({"graph": None}, 0) == {"graph": None}
     out = service.enforce_budget({"session_id": "s", "type": "t", "big": "x" * 1000, "n": 1}, 40)
     assert out == {"session_id": "s", "type": "t", "n": 1, "_budget_truncated": True}
     assert service.ModelClient().ask_json("x") is None and service.ModelClient(lambda p: '```json\n{"a": 1}\n```').ask_json("x") == {"a": 1}
+
+
+def test_java_type_parameters_and_annotation_types():
+    from codestrata.sources.extract import java
+
+    found = {e.name: e for e in java("A.java", "package p;\n@interface Mark { }\nclass A<T extends B> extends C<T> implements D<T, E>, F { }").entities}
+    assert "Mark" not in found
+    assert (found["A"].superclass, found["A"].interfaces) == ("C", ["D", "F"])
+
+
+def test_go_grouped_types():
+    from codestrata.sources.extract import go
+
+    found = {e.name: e.kind for e in go("p/a.go", "package p\ntype (\n\tA struct {\n\t\tx int\n\t}\n\tB interface{ M() }\n\tC = int\n)\nfunc F() {}\n").entities}
+    assert found == {"A": "struct", "B": "interface", "C": "type", "F": "function"}
+
+
+def test_typescript_patterns_and_imports():
+    from codestrata.sources.extract import typescript
+
+    out = typescript("a/b.ts", "import Base, { x as y } from './base';\nimport * as ns from './ns';\nconst r = /\"{/g;\nclass A extends Base { m() { return ns.run(1 / 2) / 3; } }\n")
+    assert out.imports == [("./base", ["x", "Base"]), ("./ns", ["run"])]
+    assert [e.name for e in out.entities] == ["A", "m"]
+
+
+def test_a_cache_that_cannot_be_read_is_kept(spark, tmp_path):
+    import pytest
+    from codestrata.sources import files
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.py").write_text("class A:\n    pass\n")
+    (tmp_path / "cache").mkdir()
+    (tmp_path / "cache/part-0.parquet").write_text("not a table")
+    with pytest.raises(Exception):
+        files.parse(spark, str(tmp_path / "src"), cache=str(tmp_path / "cache"))
+    assert (tmp_path / "cache/part-0.parquet").read_text() == "not a table"
+
+
+def test_edges_of_several_graphs_keep_their_order(spark):
+    from codestrata.operators import merge
+    from codestrata.plans.queries import polyglot
+
+    seqs = [r["edge_seq"] for r in merge.union(polyglot(spark)).edges.collect()]
+    assert len(seqs) == len(set(seqs))
