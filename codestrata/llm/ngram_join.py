@@ -6,16 +6,18 @@ A document's set holds the distinct shingles of `words` words. Two documents lin
 2. Shingles are ordered by hash, with frequent ones (in more than `FREQUENT` prefixes) moved to the end. Two classes that
    link share a shingle within their prefixes of |x| - ceil(num/den |x|) + 1 shingles. Each class gives its prefix
    and some shingles more, to make up for the frequent ones; frequencies are counted over all of them.
-3. Classes that share an infrequent prefix shingle make candidate pairs; size, position, and the number of prefix
-   shingles that a pair shares bound its overlap, and pairs that cannot reach the threshold go.
+3. Classes of one size with the same shared prefix are collapsed into one group. Groups that share an infrequent prefix shingle make candidate
+   pairs; size, position, and the number of prefix shingles that a pair shares bound its overlap, and pairs of groups that
+   cannot reach the threshold go. Only then are groups expanded to their members.
 4. Classes whose prefix reaches into their frequent shingles ("deep": near copies by the hundred, texts of
    common passages) are joined among themselves by group: every shingle of their prefixes, rarest first, ties its
-   holders to one hub, which takes a row for each holder, not for each pair. Against the other classes they are joined
+   holders to one hub, which takes a row for each holder, not for each pair. Against the groups they are joined
    as in step 3, by the infrequent part of their prefix.
-5. Candidate pairs and hub ties are closed into families; the whole sets of a family's members are read once and all
-   pairs in it are verified exactly. A family over `TILE_ROWS` members or `TILE_SHINGLES` shingles is dealt out in blocks
-   and each pair of blocks is verified in a task of its own. A tile returns a spanning forest of its links, so rows do
-   not grow with the square of a group.
+5. Candidate pairs and ties are closed into families; the whole sets of a family's members are read once and verified exactly. In a
+   family over `TILE_ROWS` members or `TILE_SHINGLES` shingles all members are first verified against one pivot, each in a row of
+   its own: those that link with it are connected and need no other link among them. The others are dealt out in blocks,
+   and each pair of such blocks, and each with a block of the connected ones, is verified in a task of its own, so that rows grow with the
+   members that the pivot leaves. A tile returns a spanning forest of its links.
 6. The links are closed into components.
 
 Defined cases: null text is like empty: no shingles, linked with nothing, its own component; repeated rows fall into one
@@ -28,10 +30,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import discard, map_rows, per_worker, small, written
+from codestrata.llm.common import discard, map_rows, small, written
 from codestrata.llm.components import connected
 
 #: A shingle in more prefixes than this is frequent.
@@ -39,45 +41,60 @@ FREQUENT = 32
 #: Members and shingles of a block of a family.
 TILE_ROWS = 512
 TILE_SHINGLES = 2_000_000
-#: Words whose hashes a worker remembers.
-MEMO = 300_000
 
 # Odd multipliers of the 64-bit mix.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < MEMO:
-            self[word] = h
-        return h
-
-
-def _word_hash() -> _WordHash:
-    return per_worker("word hashes", _WordHash)
-
-
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """The set, as ascending 64-bit hashes. A text with fewer words gives one shingle of all its words."""
-    if not text:
-        return np.empty(0, np.int64)
-    found = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z only, the six ASCII spaces
-    if not found:
-        return np.empty(0, np.int64)
-    if len(found) < words:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(found), seed=len(found))], np.uint64).view(np.int64)
-    h = np.fromiter(map(_word_hash().__getitem__, found), np.uint64, len(found))
-    n = len(h) - words + 1
-    x = h[:n] * _MIX
-    for k in range(1, words):
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32  # A-Z only
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def _word_hashes(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of `data` at these places, from all their bytes and their length."""
+    padded = np.concatenate([data, np.zeros(24, np.uint8)])
+    eight = np.ndarray((len(data) + 17,), "<u8", padded, strides=(1,))
+    h = size.astype(np.uint64) * _MIX
+    for k in range(3):
+        h = (h ^ (h >> np.uint64(29))) + (eight[at + 8 * k] & _LOW[np.clip(size - 8 * k, 0, 8)])
+        h *= _MIX2 if k % 2 else _MIX
+    h ^= h >> np.uint64(32)
+    for k in np.flatnonzero(size > 24).tolist():
+        h[k] = xxhash.xxh64_intdigest(data[at[k] : at[k] + size[k]].tobytes())
+    return h
+
+
+def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """The set of each text, as ascending 64-bit hashes. A text with fewer words gives one shingle of all its words."""
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    ends = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)  # a space behind each text
+    data = _LOWER[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
+    gap = _SPACE[data]
+    begin = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
+    size = np.flatnonzero(gap & np.concatenate([[False], ~gap[:-1]])) - begin
+    h = _word_hashes(data, begin, size)
+    first = np.searchsorted(begin, np.concatenate([[0], ends[:-1]])).tolist() + [len(begin)]
+    x = h * _MIX
+    if len(h) >= words:
+        x = x[: len(h) - words + 1]
+        for k in range(1, words):
+            x ^= x >> np.uint64(29)
+            x = (x + h[k : k + len(x)]) * _MIX2
+        x ^= x >> np.uint64(32)
+        x *= _MIX
         x ^= x >> np.uint64(29)
-        x = (x + h[k : k + n]) * _MIX2
-    x ^= x >> np.uint64(32)
-    x *= _MIX
-    x ^= x >> np.uint64(29)
-    return np.unique(x.view(np.int64))
+    out = []
+    for a, b in zip(first, first[1:]):
+        if b - a >= words:
+            out.append(np.unique(x[a : b - words + 1].view(np.int64)))
+        elif b > a:
+            found = b" ".join(data[begin[k] : begin[k] + size[k]].tobytes() for k in range(a, b))
+            out.append(np.array([xxhash.xxh64_intdigest(found, seed=b - a)], np.uint64).view(np.int64))
+        else:
+            out.append(np.empty(0, np.int64))
+    return out
 
 
 def _prefix_length(n, num: int, den: int):
@@ -103,7 +120,7 @@ def _full_sets(docs: DataFrame, classes: DataFrame, rids: DataFrame, words: int)
 
     def start():
         def step(texts):
-            sets = [shingles(t, words) for t in texts]
+            sets = shingle_sets(texts, words)
             return [_digest(s) for s in sets], sets
 
         return step
@@ -127,7 +144,7 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     def start():
         def step(doc_ids, texts):
-            sets = [shingles(t, words) for t in texts]
+            sets = shingle_sets(texts, words)
             return doc_ids, [_digest(s) for s in sets], [len(s) for s in sets], [s[: _given(len(s), num, den)] for s in sets]
 
         return step
@@ -160,12 +177,17 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, num: int, den: int)
     deep = cuts.where("deep").select("rid")
     light = posts.where(F.col("df") <= FREQUENT).join(small(cuts), "rid", "left")
     light = light.where((F.col("pos") < F.coalesce("cut", p)) & ~F.coalesce("deep", F.lit(False)))
-    # at most cut - p frequent shingles stand before; as these count as moved to the end, pos is the least that it can be
-    pos = F.greatest(F.col("pos") - F.coalesce(F.col("cut") - p, F.lit(0)), F.lit(0))
-    light = written(light.select("h", "rid", "n", pos.alias("pos")), "light")
+    # classes of one size and one shared prefix, in the order of infrequent shingles, are one group; members of a group that
+    # differ in shingles that nobody shares stand at its places at the least
+    prefixes = written(light.groupBy("rid", "n").agg(F.array_sort(F.collect_list("h")).alias("prefix")), "prefixes")
     discard(posts)
-
+    groups = prefixes.groupBy("n", "prefix").agg(F.min("rid").alias("gid"), F.count("*").alias("members"))
+    groups = written(groups, "groups")
+    light = written(groups.select("gid", "n", F.posexplode("prefix").alias("pos", "h")).select("h", F.col("gid").alias("rid"), "n", "pos"), "light")
     pairs = _pairs(light, light, "l.rid < r.rid", num, den)
+    crowded = groups.where("members > 1").select("gid", "n", "prefix")
+    expanded = prefixes.join(small(crowded), ["n", "prefix"]).where("rid <> gid").select(F.col("rid").alias("a"), F.col("gid").alias("b"))
+    pairs = pairs.unionAll(expanded)
 
     deep_sets = _full_sets(docs, classes, deep, words).groupBy("rid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     deep_sets = written(deep_sets, "deep")
@@ -181,7 +203,7 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, num: int, den: int)
         ranked = each.join(holders, "h").withColumn("rank", F.row_number().over(of_doc.orderBy("df", "h")))
         ties = ranked.where((F.col("rank") <= p) & (F.col("df") > 1) & (F.col("rid") != F.col("hub"))).select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct()
     pairs = written(pairs if ties is None else pairs.unionAll(ties), "pairs")
-    discard(light)
+    discard(light, groups, prefixes)
 
     families = written(connected(pairs), "families")
     others = families.select(F.col("node").alias("rid")).join(small(deep), "rid", "left_anti")
@@ -205,13 +227,39 @@ def _pairs(left: DataFrame, right: DataFrame, order: str, num: int, den: int) ->
     return met.where((F.col("reach") >= need) & (F.col("c") + rest >= need)).select("a", "b")
 
 
+def _blocks() -> Column:
+    return F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
+
+
+def _pivot_links(sets: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the members of large families that link with the pivot, the family's label. Its set goes to one row for each
+    block of members, so that no task takes a family whole."""
+    salt = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
+    members = placed.withColumn("salt", salt).join(sets, "rid")
+    pivots = placed.where("rid = label").select("label", "blocks").join(sets.select(F.col("rid").alias("label"), F.col("n").alias("m"), F.col("tokens").alias("of_pivot")), "label")
+    pivots = pivots.select("label", "m", "of_pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
+    both = members.join(pivots, ["label", "salt"]).withColumn("shared", F.size(F.array_intersect("tokens", "of_pivot")).cast("long"))
+    return both.where((F.col("shared") * den >= (F.col("n") + F.col("m") - F.col("shared")) * num) & (F.col("rid") != F.col("label"))).select(F.col("rid").alias("a"), F.col("label").alias("b"))
+
+
 def _verified(sets: DataFrame, families: DataFrame, num: int, den: int) -> DataFrame:
-    weight = families.join(sets.select(F.col("rid").alias("node"), "n"), "node").groupBy("label").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
-    placed = families.join(weight.select("label", blocks.alias("blocks")), "label").withColumnRenamed("node", "rid")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    # each member meets every block of its family once
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sized = families.join(sets.select(F.col("rid").alias("node"), "n"), "node").withColumnRenamed("node", "rid")
+    weight = sized.groupBy("label").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    large = written(weight.withColumn("blocks", _blocks()).where("blocks > 1").select("label", "blocks"), "large")
+    placed = sized.withColumn("connected", F.lit(False))
+    found = None
+    if large.limit(1).count():
+        found = written(_pivot_links(sets, sized.join(small(large), "label").select("rid", "label", "blocks"), num, den), "pivot_links")
+        core = found.select(F.col("a").alias("rid")).unionAll(found.select(F.col("b").alias("rid")).distinct()).withColumn("_core", F.lit(True))
+        placed = sized.join(core, "rid", "left").withColumn("connected", F.coalesce("_core", F.lit(False))).drop("_core")
+    # blocks 0 to r - 1 hold what is not connected, c more the connected members; tiles pair each of the former with every block
+    parts = placed.groupBy("label", "connected").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).withColumn("blocks", _blocks())
+    count = lambda side: F.coalesce(F.max(F.when(F.col("connected") == F.lit(side), F.col("blocks"))), F.lit(0))
+    parts = parts.groupBy("label").agg(count(False).alias("r"), count(True).alias("c")).where("r > 0")
+    placed = placed.join(parts, "label")
+    h = F.xxhash64("rid")
+    placed = placed.withColumn("block", F.when(F.col("connected"), F.col("r") + F.pmod(h, F.greatest("c", F.lit(1)))).otherwise(F.pmod(h, F.col("r"))).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("connected"), F.col("r") - 1).otherwise(F.col("r") + F.col("c") - 1))))
     placed = placed.select("rid", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def verify(table: pa.Table) -> pa.Table:
@@ -223,7 +271,8 @@ def _verified(sets: DataFrame, families: DataFrame, num: int, den: int) -> DataF
         a, b = forest(parts.flatten().to_numpy(), np.diff(parts.offsets.to_numpy()), table.column("block").to_numpy(), num, den)
         return pa.table({"a": pa.array(rid[a], pa.int64()), "b": pa.array(rid[b], pa.int64())})
 
-    return sets.join(placed, "rid").select("label", "i", "j", "rid", "block", "tokens").groupBy("label", "i", "j").applyInArrow(verify, "a long, b long")
+    tiles = sets.join(placed, "rid").select("label", "i", "j", "rid", "block", "tokens").groupBy("label", "i", "j").applyInArrow(verify, "a long, b long")
+    return tiles if found is None else tiles.unionAll(found)
 
 
 def forest(flat: np.ndarray, n: np.ndarray, block: np.ndarray, num: int, den: int) -> tuple[list[int], list[int]]:
@@ -280,7 +329,7 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
 
     def start():
         def step(doc_ids, keys, texts):
-            return doc_ids, keys, [_digest(shingles(t, words)) for t in texts]
+            return doc_ids, keys, [_digest(s) for s in shingle_sets(texts, words)]
 
         return step
 
