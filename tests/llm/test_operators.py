@@ -200,6 +200,12 @@ def test_line_dedup(spark):
             assert got[i]["text"] == ("\n".join(kept) if t else t)
             assert (got[i]["n_lines"], got[i]["n_removed"]) == (len(lines), len(lines) - len(kept))
     assert x.deduplicated(docs_of(spark, []), 3).count() == 0
+    rows = [(7, "a\nb\n\n c", "en", f"s{k}", 0) for k in range(4)] + [(7, "a", "en", "s0", 0)] * 2 + [(None, "\n".join(["x y"] * 20_000 + ["a"]), "en", "s9", 0)]
+    own = frame(spark, rows).withColumns({"n_lines": F.lit("own"), "h": F.lit("own"), "_at": F.lit("own")})
+    out = x.deduplicated(own, 4)
+    assert out.columns == [*own.columns, "n_lines_", "n_removed"]
+    got = sorted((r["doc_id"] or 0, r["text"][:3], r["n_lines"], r["h"], r["_at"], r["n_lines_"], r["n_removed"]) for r in out.collect())
+    assert got == [(0, "x y", "own", "own", "own", 20_001, 1)] + [(7, "", "own", "own", "own", 1, 1)] * 2 + [(7, "", "own", "own", "own", 4, 3)] * 4
 
 
 # 4 -----------------------------------------------------------------------------------------------------------------------
@@ -218,10 +224,9 @@ def brute_top_k(rows, k=5):
     return sorted(out)
 
 
-def test_ball_tree(spark, monkeypatch):
+def test_ball_tree(spark):
     from codestrata.llm import ball_tree as x
 
-    monkeypatch.setattr(x, "SEED_ROWS", 20)
     r = np.random.default_rng(3)
     rows = [(i, [float(np.float32(a)) for a in r.normal(0, 1, 8).round(1)]) for i in range(700)]
     rows += [(50, rows[50][1]), (701, None), (702, []), (703, [float("nan")] * 8), (704, [None] + [0.1] * 7), (705, [float("inf")] * 8), (None, rows[0][1]), (750, [1.0, 2.0]), (751, [0.5, 0.5])]
@@ -241,6 +246,19 @@ def test_ball_tree_ties_and_blocks(spark, monkeypatch):
     assert got == brute_top_k(rows)
 
 
+def test_ball_tree_large_components_and_waves(spark, monkeypatch):
+    from codestrata.llm import ball_tree as x
+
+    for name, value in (("SHARD_ROWS", 16), ("LEAF_ROWS", 4), ("BLOCK_QUERIES", 3), ("FIRST_WAVE", 2)):
+        monkeypatch.setattr(x, name, value)
+    r = np.random.default_rng(5)
+    # products beyond 2**53, sums within a long, and ties that floating point would not tell apart
+    rows = [(i, [float(a) for a in r.integers(-(2**22), 2**22, 6)]) for i in range(300)] + [(400, [524288.00390625] * 2), (401, [524288.01171875] * 2), (402, [524288.0078125] * 2)]
+    vectors = spark.createDataFrame([(i, v, "own") for i, v in rows], "vec_id long, embedding array<double>, score string")
+    got = sorted((q["query_id"], q["rank"], q["vec_id"], q["score"]) for q in x.top_k(vectors, F.col("vec_id") % 50 == 0).collect())
+    assert got == brute_top_k(rows)
+
+
 # 5 -----------------------------------------------------------------------------------------------------------------------
 
 
