@@ -32,14 +32,13 @@ def part_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("owner", F.when(F.col("kind") == "method", lead))
 
 
-def part_graph(spark: SparkSession, sf_dir: str, min_quantity: float | None = None) -> CodeGraph:
-    """GP; with min_quantity only edges whose source line has that quantity (GPS: 48)."""
+def part_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    """GP: parts, with an edge for neighbouring lines of an order."""
     entities = part_entities(spark, sf_dir)
-    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_quantity")
-    a = line if min_quantity is None else line.where(F.col("l_quantity") >= min_quantity)
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
     b = line.select("l_orderkey", F.col("l_partkey").alias("b_part"), (F.col("l_linenumber") - 1).alias("l_linenumber"))
     relation = F.when(F.col("l_returnflag") == "A", "import").when(F.col("l_returnflag") == "N", "extends").otherwise("implements")
-    pairs = a.join(b, ["l_orderkey", "l_linenumber"]).where("l_partkey <> b_part").select("l_partkey", "b_part", relation.alias("relation")).distinct()
+    pairs = line.join(b, ["l_orderkey", "l_linenumber"]).where("l_partkey <> b_part").select("l_partkey", "b_part", relation.alias("relation")).distinct()
     names = entities.select("p_partkey", "fqn")
     edges = (
         pairs.join(names.select(F.col("p_partkey").alias("l_partkey"), F.col("fqn").alias("source")), "l_partkey")

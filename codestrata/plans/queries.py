@@ -45,12 +45,11 @@ _ENT = """ent AS (
 )"""
 
 
-def _edges(min_quantity: int | None = None) -> str:
-    cond = f" AND a.l_quantity >= {min_quantity}" if min_quantity else ""
-    return f"""edges AS (
+def _edges() -> str:
+    return """edges AS (
   SELECT s.fqn AS source, t.fqn AS target, relation, x * 8589934592 + y * 4 + CASE relation WHEN 'extends' THEN 0 WHEN 'implements' THEN 1 ELSE 2 END AS edge_seq FROM (
     SELECT DISTINCT a.l_partkey AS x, b.l_partkey AS y, CASE a.l_returnflag WHEN 'A' THEN 'import' WHEN 'N' THEN 'extends' ELSE 'implements' END AS relation
-    FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey{cond})
+    FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)
   JOIN ent s ON s.p_partkey = x JOIN ent t ON t.p_partkey = y
 )"""
 
@@ -67,8 +66,8 @@ factors AS (
       SELECT src AS component, src = tgt AS inside, n_edges FROM ec UNION ALL SELECT tgt, false, n_edges FROM ec WHERE src <> tgt) GROUP BY ALL) x USING (component))"""
 
 
-def _gp(component: str | None = "p_type", min_quantity: int | None = None) -> str:
-    parts = [_ENT, _edges(min_quantity)]
+def _gp(component: str | None = "p_type") -> str:
+    parts = [_ENT, _edges()]
     if component:
         parts += [f"m AS (SELECT fqn, {component} AS component, entity_seq FROM ent)", _EC]
     return "WITH RECURSIVE " + ",\n".join(parts)
@@ -309,7 +308,7 @@ def pkg_groups(spark, sf_dir):
     return packages.package_groups(fx.part_entities(spark, sf_dir), 1, 1).select("fqn", "grp")
 
 
-_GROUPED = _gp(None, 48) + """, g AS (SELECT fqn, split_part(package, '.', 2) AS grp FROM ent),
+_GROUPED = _gp(None) + """, g AS (SELECT fqn, split_part(package, '.', 2) AS grp FROM ent),
 x AS (SELECT source, target, a.grp AS src, b.grp AS tgt FROM edges JOIN g a ON source = a.fqn JOIN g b ON target = b.fqn),
 hubs AS (SELECT fqn FROM (SELECT target AS fqn, (src = tgt)::INT AS i, (src <> tgt)::INT AS a FROM x UNION ALL SELECT source, 0, 1 FROM x WHERE src <> tgt) GROUP BY fqn HAVING sum(i) >= 2 AND sum(a) = 0),
 moves AS (
@@ -321,26 +320,26 @@ moves AS (
 refined AS (SELECT fqn, coalesce(to_grp, g.grp) AS grp FROM g LEFT JOIN moves USING (fqn))"""
 
 
-def _sparse(spark, sf_dir):
-    graph = fx.part_graph(spark, sf_dir, 48)
+def _grouped(spark, sf_dir):
+    graph = fx.part_graph(spark, sf_dir)
     return graph, packages.package_groups(graph.entities, 1, 1)
 
 
 @query(_GROUPED + " SELECT fqn FROM hubs")
 def utility_hubs(spark, sf_dir):
-    graph, groups = _sparse(spark, sf_dir)
+    graph, groups = _grouped(spark, sf_dir)
     return packages.utility_hubs(graph.edges, groups)
 
 
 @query(_GROUPED + " SELECT fqn, grp, to_grp FROM moves")
 def facade_moves(spark, sf_dir):
-    graph, groups = _sparse(spark, sf_dir)
+    graph, groups = _grouped(spark, sf_dir)
     return packages.facade_moves(graph.edges, groups)
 
 
 @query(_GROUPED + " SELECT upper(substr(grp, 1, 1)) || substr(grp, 2) AS name, count(*) AS n FROM refined GROUP BY ALL")
 def pkg_components(spark, sf_dir):
-    return packages.recover_packages(fx.part_graph(spark, sf_dir, 48)).membership.groupBy("name").agg(F.count("*").alias("n"))
+    return packages.recover_packages(fx.part_graph(spark, sf_dir)).membership.groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query("WITH w AS (SELECT DISTINCT p_name FROM part) SELECT p_name, upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) AS title FROM w")
@@ -362,14 +361,8 @@ def entity_cycles(spark, sf_dir):
     return smells.strong_components(fx.nation_graph(spark, sf_dir, 2)[0].edges)
 
 
-@query(_gp("p_brand", 48) + f", {_SCC} SELECT * FROM overload")
-def concern_overload(spark, sf_dir):
-    graph = fx.part_graph(spark, sf_dir, 48)
-    return smells.concern_overload(graph, fx.by_brand(graph))
-
-
 @query(_gp("p_brand") + f", {_SCC} SELECT * FROM overload")
-def concern_overload_whole(spark, sf_dir):
+def concern_overload(spark, sf_dir):
     graph = fx.part_graph(spark, sf_dir)
     return smells.concern_overload(graph, fx.by_brand(graph))
 
@@ -608,42 +601,27 @@ f AS (SELECT a.x AS a, b.x AS b, count(*) AS n FROM l a JOIN l b ON a.y = b.y AN
 r AS (SELECT a.y AS a, b.y AS b, count(*) AS n FROM l a JOIN l b ON a.x = b.x AND a.y < b.y GROUP BY ALL), rs AS (SELECT y AS x, count(*) AS n FROM l GROUP BY ALL),
 fj AS (SELECT f.a, f.b, f.n::DOUBLE / (p.n + q.n - f.n) AS j, 2.0::DOUBLE * f.n / (p.n + q.n) AS u FROM f JOIN fs p ON p.x = f.a JOIN fs q ON q.x = f.b),
 rj AS (SELECT r.a, r.b, r.n::DOUBLE / (p.n + q.n - r.n) AS j FROM r JOIN rs p ON p.x = r.a JOIN rs q ON q.x = r.b)"""
-_SIM, _SIM_WHOLE = _gp(None, 48) + _PAIRS, _gp(None) + _PAIRS
+_SIM = _gp(None) + _PAIRS
 _JACCARD, _UEM = " SELECT a, b, round(j, 6) AS similarity FROM fj", " SELECT a, b, round(u, 6) AS similarity FROM fj"
 _SCM = " SELECT coalesce(fj.a, rj.a) AS a, coalesce(fj.b, rj.b) AS b, round((coalesce(fj.j, 0) + coalesce(rj.j, 0)) / 2, 6) AS similarity FROM fj FULL JOIN rj ON fj.a = rj.a AND fj.b = rj.b"
 
 
-def _sim(spark, sf_dir, measure, min_quantity=None):
-    return similar_pairs(fx.part_graph(spark, sf_dir, min_quantity).edges, measure).select("a", "b", F.round("similarity", 6).alias("similarity"))
+def _sim(spark, sf_dir, measure):
+    return similar_pairs(fx.part_graph(spark, sf_dir).edges, measure).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query(_SIM + _JACCARD)
 def sim_jaccard(spark, sf_dir):
-    return _sim(spark, sf_dir, "jaccard", 48)
-
-
-@query(_SIM_WHOLE + _JACCARD)
-def sim_jaccard_whole(spark, sf_dir):
     return _sim(spark, sf_dir, "jaccard")
 
 
 @query(_SIM + _UEM)
 def sim_uem(spark, sf_dir):
-    return _sim(spark, sf_dir, "uem", 48)
-
-
-@query(_SIM_WHOLE + _UEM)
-def sim_uem_whole(spark, sf_dir):
     return _sim(spark, sf_dir, "uem")
 
 
 @query(_SIM + _SCM)
 def sim_scm(spark, sf_dir):
-    return _sim(spark, sf_dir, "scm", 48)
-
-
-@query(_SIM_WHOLE + _SCM)
-def sim_scm_whole(spark, sf_dir):
     return _sim(spark, sf_dir, "scm")
 
 
@@ -685,9 +663,9 @@ def info_loss(spark, sf_dir):
     return pairs.join(F.broadcast(total)).select(F.col("p_brand_a").alias("a"), F.col("p_brand_b").alias("b"), F.round(loss, 6).alias("loss"))  # total is one row
 
 
-@query(_gp(None, 48) + " SELECT source AS fqn, min(target) AS dominator FROM edges GROUP BY source HAVING count(*) = 1")
+@query(_gn(1) + " SELECT source AS fqn, min(target) AS dominator FROM edges GROUP BY source HAVING count(*) = 1")
 def acdc_dominators(spark, sf_dir):
-    return clusters.dominated(fx.part_graph(spark, sf_dir, 48))
+    return clusters.dominated(fx.nation_graph(spark, sf_dir, 1)[0])
 
 
 def _sized(arch) -> DataFrame:
@@ -701,7 +679,7 @@ def wca(spark, sf_dir):
 
 @query()
 def acdc(spark, sf_dir):
-    return _sized(clusters.acdc(fx.part_graph(spark, sf_dir, 48)))
+    return _sized(clusters.acdc(fx.part_graph(spark, sf_dir)))
 
 
 @query()

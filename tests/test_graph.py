@@ -301,13 +301,13 @@ def test_whole_graph_queries(spark):
         "scm": {k: (jaccard.get(k, 0) + back.get(k, 0)) / 2 for k in jaccard.keys() | back.keys()},
     }
     for measure, expected in want.items():
-        got = {(r["a"], r["b"]): r["similarity"] for r in QUERIES[f"sim_{measure}_whole"](spark, SF).collect()}
+        got = {(r["a"], r["b"]): r["similarity"] for r in QUERIES[f"sim_{measure}"](spark, SF).collect()}
         assert got.keys() == expected.keys()
         assert all(got[k] == pytest.approx(v, abs=1e-6) for k, v in expected.items())
 
     members = {r["fqn"]: r["p_brand"] for r in graph.entities.select("fqn", "p_brand").collect()}
     sizes = Counter(members.values())
     inside = Counter(members[e["source"]] for e in graph.edges.collect() if members[e["source"]] == members[e["target"]])
-    assert {r["component"] for r in QUERIES["concern_overload_whole"](spark, SF).collect()} == {c for c, n in sizes.items() if n > 20 and inside[c] / n < 0.4}
+    assert {r["component"] for r in QUERIES["concern_overload"](spark, SF).collect()} == {c for c, n in sizes.items() if n > 20 and inside[c] / n < 0.4}
     files = [tuple(r) for r in QUERIES["context_for_task"](spark, SF).collect()]
     assert files == [tuple(r) for r in search.context_for_task(graph, "find the small promo ring", fx.by_type(graph)).collect()]
