@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs of
 the next one. All but the last return the columns of documents. What each decides takes effect: it passes on
 the documents that it keeps, unchanged, and the mix repeats documents as its targets ask.
+
+Defined cases of every stage: an empty table gives an empty one; nulls may stand in any column; further columns, whatever their
+names, are passed on by all stages but the last.
 """
 
 from __future__ import annotations
@@ -14,7 +17,8 @@ from codestrata.llm.common import discard, table, written
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine scores 0.5 or more go. It is fitted to the labelled documents of the
-    stage's own input."""
+    stage's own input; without labels of both classes all stay. Null and empty texts score as the bias does; repeated rows go or stay
+    alike."""
     from codestrata.llm.toxicity import kept_documents, train
 
     return kept_documents(docs, train(docs, table(spark, sf_dir, "labels")), threshold=0.5)
@@ -22,28 +26,30 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents whose sets of five-word shingles are similar by 0.8 or more, the one with the
-    smallest doc_id stays."""
+    smallest doc_id stays. Null and empty texts have no copies and stay; rows that repeat a doc_id and its text become one, rows without
+    a doc_id stay."""
     from codestrata.llm.ngram_join import one_of_each
 
     return one_of_each(docs, words=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which a benchmark item leaks go."""
+    """Documents into which a benchmark item leaks go. Null and empty texts, and items without words, match nothing."""
     from codestrata.llm.decontaminate import clean_documents
 
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, each as often as the mix takes it."""
+    """Whole documents, each as often as the mix takes it. A document without words is in no mix, so it goes; a null source is a source of
+    its own; rows that repeat a doc_id and its text are taken alike."""
     from codestrata.llm.mixing import mixed
 
     return mixed(docs, weights=(3.0, 1.0, 2.0), share=1.5, max_repeat=2)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix, read back: one row per document."""
+    """Token files of the mix, read back: one row per document, repeated ones each."""
     import public_tokenizers
 
     from codestrata.llm.token_output import token_files
