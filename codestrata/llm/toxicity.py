@@ -64,21 +64,30 @@ def informative(texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     often = often[(pooled[often] > 0) & (pooled[often] < 1)]
     place = np.full(BUCKETS, -1)
     place[often] = np.arange(len(often))
+    mean, spread = pooled[often].astype(np.float32), np.sqrt(pooled[often] * (1 - pooled[often])).astype(np.float32)
+
+    def parts():
+        """Which texts hold which buckets, some texts at a time."""
+        for at in range(0, n, 1024):
+            held = np.zeros((min(1024, n - at), len(often)), np.float32)
+            for k, t in enumerate(texts[at : at + 1024]):
+                found = place[t]
+                held[k, found[found >= 0]] = 1
+            yield at, held
+
     # of each pair: the label's share against what the two lead to expect, over its spread
-    held = np.zeros((n, len(often)), np.float32)
-    for k, t in enumerate(texts):
-        at = place[t]
-        held[k, at[at >= 0]] = 1
-    held = (held - pooled[often]) / np.sqrt(pooled[often] * (1 - pooled[often]))
     rest = (toxic - n1 / n).astype(np.float32)
-    rest -= held @ ((held.T @ rest) / n) / max(1.0, len(often) ** 0.5)
-    together = held.T @ (held * rest[:, None])
-    square = held * held
-    spread = np.sqrt(square.T @ (square * (rest * rest)[:, None])) + 1e-6
+    slope = sum(((held - mean) / spread).T @ rest[at : at + len(held)] for at, held in parts()) / n / max(1.0, len(often) ** 0.5)
+    together, square, both = (np.zeros((len(often), len(often)), np.float32) for _ in range(3))
+    for at, held in parts():
+        z_held = (held - mean) / spread
+        left = (rest[at : at + len(held)] - z_held @ slope)[:, None]
+        together += z_held.T @ (z_held * left)
+        square += (z_held * z_held).T @ (z_held * z_held * left * left)
+        both += held.T @ held
     np.fill_diagonal(together, 0)
     # a pair that few texts hold tells nothing by the normal law
-    both = (held > 0).astype(np.float32)
-    strong = (np.abs(together) / spread >= LEAST_PAIR_Z) & (both.T @ both >= 20)
+    strong = (np.abs(together) / (np.sqrt(square) + 1e-6) >= LEAST_PAIR_Z) & (both >= 20)
     return np.union1d(alone, often[strong.any(1)])
 
 

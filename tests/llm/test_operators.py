@@ -703,3 +703,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(seen[2]) == set(range(400)) - toxic - leaked
     assert set(seen[3]) <= set(seen[2]) and max(seen[3].count(i) for i in set(seen[3])) <= 2
     assert sorted(seen[4]) == sorted(seen[3])
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, further columns with names that operators use, empty tables."""
+    import corpus_pipeline
+
+    rows = [(i, t, None if i % 2 else "en", None if i % 3 else "s", None) for i, t in enumerate(ODD)] + [(None, "no id at all here", "en", None, 1)] * 2 + [(3, "\n\n", "en", "s", 1)]
+    docs = frame(spark, rows).withColumns({c: F.lit("own") for c in ("n", "rid", "_h", "_row", "_copies", "score", "h", "start", "cid", "label")})
+    labels, benchmark = "doc_id long, quality int, toxic int", "item_id long, text string"
+    spark.createDataFrame([], labels).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (None, "")], benchmark).write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, frame_ in (("all", docs), ("none", docs.limit(0))):
+        now = frame_
+        for stage, run in corpus_pipeline.STAGES:
+            now.write.parquet(str(tmp_path / f"{name}_{stage}"))
+            now = run(spark, spark.read.parquet(str(tmp_path / f"{name}_{stage}")), str(tmp_path))
+            if stage != "token_output":
+                assert now.columns == docs.columns
+            if stage == "near_duplicates" and name == "all":
+                # null and empty texts have no copies, rows of one doc_id and text are one, rows without an id stay
+                assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in now.collect()) == [-1, -1, *range(len(ODD))]
+        assert (now.count() > 0) == (name == "all")
