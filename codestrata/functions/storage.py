@@ -22,3 +22,10 @@ def maybe_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def sized(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """The side of a join that is broadcast up to `rows` rows; beyond, both sides shuffle. Left to itself, Spark takes columns that are
+    computed from a small file for small, and sends millions of rows through the driver."""
+    out = maybe_broadcast(df, rows)
+    return out if out is not df else df.hint("merge")

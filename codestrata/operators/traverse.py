@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions.storage import cut_lineage, maybe_broadcast
+from codestrata.functions.storage import cut_lineage, maybe_broadcast, sized
 from codestrata.functions.text import path_matches
 from codestrata.model import Architecture, CodeGraph, component_edges
 
@@ -91,13 +91,14 @@ def dependency_cone(graph: CodeGraph, target: str, direction: str = "both", max_
 
 def changed_entities(graph: CodeGraph, changed: DataFrame) -> DataFrame:
     """(fqn, changed) of entities whose file matches a changed path. Suffix pairs become equal keys: every
-    end of an entity's path at a slash meets the changed path itself and the other way round, so no theta join is needed."""
+    end of an entity's path at a slash meets the changed path itself and the other way round, so no theta join is needed.
+    Only the changed paths are ever broadcast; the ends of all paths look as small as the entities' file but are many times larger."""
     clean = lambda c: F.regexp_replace(c, r"\\", "/")
     ends = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda k: F.array_join(F.slice(F.split(c, "/"), k, 10_000), "/"))
     e = graph.entities.select("fqn", clean(F.col("file_path")).alias("p"))
     c = changed.select(F.col("file_path").alias("changed"), clean(F.col("file_path")).alias("q"))
-    longer = e.select("fqn", F.explode(ends(F.col("p"))).alias("q")).join(c, "q").select("fqn", "changed")
-    shorter = e.join(c.select("changed", F.explode(ends(F.col("q"))).alias("p")), "p").select("fqn", "changed")
+    longer = e.select("fqn", F.explode(ends(F.col("p"))).alias("q")).join(sized(c), "q").select("fqn", "changed")
+    shorter = e.join(sized(c.select("changed", F.explode(ends(F.col("q"))).alias("p"))), "p").select("fqn", "changed")
     return longer.unionAll(shorter).distinct()
 
 

@@ -116,6 +116,20 @@ def test_seed_resolution_and_impact(spark):
     assert out["num_downstream"] == 2 and out["broken_contracts"] == [{"fqn": "m.A", "num_dependents": 1, "dependents": ["m.B"]}]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_changed_paths_are_the_broadcast_side(spark):
+    from codestrata.functions.storage import sized
+    from codestrata.plans import fixtures as fx
+    from codestrata.plans.queries import _changed
+
+    assert "BuildLeft" not in _plan(_changed(spark, fx.part_graph(spark, SF)))
+    few, many = spark.range(5).toDF("x"), spark.range(50).toDF("x")
+    assert "SortMergeJoin" in _plan(few.join(sized(many, 49), "x")) and "BroadcastHashJoin" in _plan(many.join(sized(few, 5), "x"))
+
+
 def test_thin_facade_moves(spark):
     e = [("pkg.api.facade", "function", "python", "pkg.api", "a.py"), ("pkg.api.registry", "function", "python", "pkg.api", "r.py"), ("pkg.impl.tool", "function", "python", "pkg.impl", "t.py"), ("pkg.impl.worker", "function", "python", "pkg.impl", "w.py")]
     g = graph_of(spark, e, [("pkg.api.facade", "pkg.impl.tool", "import"), ("pkg.impl.tool", "pkg.api.registry", "import"), ("pkg.api.facade", "pkg.impl.worker", "import")])
