@@ -40,7 +40,7 @@ def walk_cone(edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int
         visited = visited.unionByName(frontier)
     out = visited.where("distance > 0").select("fqn", "distance", "via_relation")
     if valid is not None:
-        out = out.join(valid.select("fqn"), "fqn", "left_semi")
+        out = out.join(sized(valid.select("fqn")), "fqn", "left_semi")
     if max_nodes is None:
         return Cone(out, False)
     return Cone(out.orderBy("distance", "fqn").limit(max_nodes), out.limit(max_nodes + 1).count() > max_nodes)
@@ -104,8 +104,10 @@ def changed_entities(graph: CodeGraph, changed: DataFrame) -> DataFrame:
 
 def broken_contracts(graph: CodeGraph, changed: DataFrame) -> DataFrame:
     """Changed entities (fqn) that known entities outside of the change depend on: dependents (first 20) and their number."""
-    into = graph.known_edges().join(changed.select(F.col("fqn").alias("target")), "target", "left_semi").join(changed.select(F.col("fqn").alias("source")), "source", "left_anti")
-    found = into.select(F.col("target").alias("fqn"), "source").distinct()
+    changed = sized(cut_lineage(changed.select("fqn").distinct()))
+    into = graph.edges.join(changed.withColumnRenamed("fqn", "target"), "target", "left_semi").join(changed.withColumnRenamed("fqn", "source"), "source", "left_anti")
+    # few are left when all entities are asked whether they know the source
+    found = into.select(F.col("target").alias("fqn"), "source").distinct().join(sized(graph.entities.select(F.col("fqn").alias("source"))), "source", "left_semi")
     first = F.row_number().over(Window.partitionBy("fqn").orderBy("source"))
     listed = found.withColumn("r", first).where("r <= 20").groupBy("fqn").agg(F.array_sort(F.collect_list("source")).alias("dependents"))
     return found.groupBy("fqn").agg(F.count("*").alias("num_dependents")).join(listed, "fqn")

@@ -130,6 +130,16 @@ def test_changed_paths_are_the_broadcast_side(spark):
     assert "SortMergeJoin" in _plan(few.join(sized(many, 49), "x")) and "BroadcastHashJoin" in _plan(many.join(sized(few, 5), "x"))
 
 
+def test_broken_contracts_of_unknown_sources(spark, monkeypatch):
+    g = graph_of(spark, [("m.A", "class", "java", "m", "A.java"), ("m.B", "class", "java", "m", "B.java"), ("m.C", "class", "java", "m", "C.java")], [("m.B", "m.A", "import"), ("m.B", "m.A", "uses"), ("z.Q", "m.A", "import"), ("m.C", "m.A", "import"), ("m.A", "m.C", "import")])
+    changed = spark.createDataFrame([("m.A",), ("m.C",)], "fqn string")
+    assert [(r["fqn"], r["num_dependents"], r["dependents"]) for r in traverse.broken_contracts(g, changed).collect()] == [("m.A", 1, ["m.B"])]
+    big = lambda df, rows=0: df.hint("merge")
+    monkeypatch.setattr(traverse, "sized", big)
+    out = traverse.broken_contracts(g, changed)
+    assert [(r["fqn"], r["num_dependents"], r["dependents"]) for r in out.collect()] == [("m.A", 1, ["m.B"])]
+
+
 def test_thin_facade_moves(spark):
     e = [("pkg.api.facade", "function", "python", "pkg.api", "a.py"), ("pkg.api.registry", "function", "python", "pkg.api", "r.py"), ("pkg.impl.tool", "function", "python", "pkg.impl", "t.py"), ("pkg.impl.worker", "function", "python", "pkg.impl", "w.py")]
     g = graph_of(spark, e, [("pkg.api.facade", "pkg.impl.tool", "import"), ("pkg.impl.tool", "pkg.api.registry", "import"), ("pkg.api.facade", "pkg.impl.worker", "import")])
