@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codestrata.functions.storage import sized
 from codestrata.model import Architecture, CodeGraph, architecture_by
 
 
@@ -38,11 +39,11 @@ def part_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
     b = line.select("l_orderkey", F.col("l_partkey").alias("b_part"), (F.col("l_linenumber") - 1).alias("l_linenumber"))
     relation = F.when(F.col("l_returnflag") == "A", "import").when(F.col("l_returnflag") == "N", "extends").otherwise("implements")
-    pairs = line.join(b, ["l_orderkey", "l_linenumber"]).where("l_partkey <> b_part").select("l_partkey", "b_part", relation.alias("relation")).distinct()
-    names = entities.select("p_partkey", "fqn")
+    pairs = line.join(b, ["l_orderkey", "l_linenumber"]).where("l_partkey <> b_part").select("l_partkey", "b_part", relation.alias("relation")).repartition("l_partkey").distinct()  # one shuffle for both that and the next join
+    names = sized(entities.select("p_partkey", "fqn"))
     edges = (
-        pairs.join(names.select(F.col("p_partkey").alias("l_partkey"), F.col("fqn").alias("source")), "l_partkey")
-        .join(names.select(F.col("p_partkey").alias("b_part"), F.col("fqn").alias("target")), "b_part")
+        pairs.join(names.withColumnsRenamed({"p_partkey": "l_partkey", "fqn": "source"}), "l_partkey")
+        .join(names.withColumnsRenamed({"p_partkey": "b_part", "fqn": "target"}), "b_part")
         # the order of (source part, target part, relation) as a number, without a global sort
         .select("source", "target", "relation", (F.col("l_partkey") * (1 << 33) + F.col("b_part") * 4 + F.when(F.col("relation") == "extends", 0).when(F.col("relation") == "implements", 1).otherwise(2)).alias("edge_seq"))
     )

@@ -140,6 +140,16 @@ def test_broken_contracts_of_unknown_sources(spark, monkeypatch):
     assert [(r["fqn"], r["num_dependents"], r["dependents"]) for r in out.collect()] == [("m.A", 1, ["m.B"])]
 
 
+def test_part_names_beyond_a_broadcast_are_shuffled(spark, monkeypatch):
+    from codestrata.functions import storage
+    from codestrata.plans import fixtures as fx
+
+    want = sorted(map(tuple, fx.part_graph(spark, SF).edges.collect()))
+    monkeypatch.setattr(fx, "sized", lambda df: storage.sized(df, 199))  # 200 parts
+    edges = fx.part_graph(spark, SF).edges
+    assert _plan(edges).count("SortMergeJoin [l_partkey") == 1 and _plan(edges).count("SortMergeJoin [b_part") == 1 and sorted(map(tuple, edges.collect())) == want
+
+
 def test_thin_facade_moves(spark):
     e = [("pkg.api.facade", "function", "python", "pkg.api", "a.py"), ("pkg.api.registry", "function", "python", "pkg.api", "r.py"), ("pkg.impl.tool", "function", "python", "pkg.impl", "t.py"), ("pkg.impl.worker", "function", "python", "pkg.impl", "w.py")]
     g = graph_of(spark, e, [("pkg.api.facade", "pkg.impl.tool", "import"), ("pkg.impl.tool", "pkg.api.registry", "import"), ("pkg.api.facade", "pkg.impl.worker", "import")])
