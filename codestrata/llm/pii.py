@@ -8,8 +8,8 @@
    sides, a cue word before. What the checks test (checksums, ranges, numbers of digits) is withheld from them. Positive are base spans; negative are the
    look-alikes of the corpus: base matches that fail their check, and wide matches that are no base match, such as lists, versions, cards and long
    numbers for phones, or "look at home. The" for e-mail. Wide matches in an obfuscated form (bracketed separators) have no label.
-4. The fit uses documents that are not in the calibration fold (FOLD), counted by binned features (at most FEATURE_ROWS distinct rows reach
-   the driver, most frequent first). On the fold, each kind gets the lowest threshold with a precision of PRECISION, half way to the next
+4. The fit uses documents that are not in the calibration fold (FOLD), counted by binned features. Up to FEATURE_ROWS distinct rows are fitted on the
+   driver; beyond, all of them stay where they are and each level of a tree comes from sums by node, feature and bin. On the fold, each kind gets the lowest threshold with a precision of PRECISION, half way to the next
    score below it and never below even odds.
 5. A wide match is added if its plain form passes the kind's check, its score reaches the threshold and it overlaps no base span, longest first.
 
@@ -22,11 +22,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import written
+from codestrata.llm.common import discard, written
 
+#: Distinct feature rows that the driver fits; more are fitted by the executors, all of them.
 FEATURE_ROWS = 20_000
 TREES = 20
 DEPTH = 4
@@ -203,21 +204,88 @@ def _tree_sql(tree, names: list[str]) -> str:
     return f"CASE WHEN c.{names[f]} <= {value} THEN {_tree_sql(left, names)} ELSE {_tree_sql(right, names)} END"
 
 
+def _score_sql(bias: float, trees: list, names: list[str]) -> str:
+    return " + ".join([f"double({bias!r})", *[f"{RATE} * ({_tree_sql(t, names)})" for t in trees]])
+
+
+def _grown(rows: DataFrame, names: list[str]):
+    """The tree of _split over rows (c: features, g, h), by levels; what is collected is a sum for each node, feature and bin."""
+    leaf = lambda g, h: -g / (h + 1.0)
+    conds, open_, splits, leaves = {"": "true"}, [""], {}, {}
+    for level in range(DEPTH):
+        node = "CASE " + " ".join(f"WHEN {conds[p]} THEN '{p}'" for p in open_) + " END"
+        bins = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"c.{n}").cast("int").alias("b")) for f, n in enumerate(names)])
+        each = rows.select(F.expr(node).alias("p"), "g", "h", F.explode(bins).alias("x")).where("p is not null")
+        sums: dict = {}
+        for r in each.groupBy("p", "x.f", "x.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n")).collect():
+            sums.setdefault(r["p"], {}).setdefault(r["f"], {})[r["b"]] = (r["g"], r["h"], r["n"])
+        following = []
+        for p in open_:
+            g, h, n = (sum(x[i] for x in sums[p][0].values()) for i in range(3))
+            best = (1e-6, None, None, 0.0, 0.0)
+            for f in range(len(names)):
+                gl = hl = 0.0
+                for value in sorted(sums[p][f])[:-1]:
+                    gl, hl = gl + sums[p][f][value][0], hl + sums[p][f][value][1]
+                    gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
+                    if gain > best[0]:
+                        best = (gain, f, value, gl, hl)
+            _, f, value, gl, hl = best
+            if f is None or n < 2:
+                leaves[p] = leaf(g, h)
+                continue
+            splits[p] = (f, value)
+            for side, sign, gs, hs in (("l", "<=", gl, hl), ("r", ">", g - gl, h - hl)):
+                conds[p + side] = f"{conds[p]} AND c.{names[f]} {sign} {value}"
+                leaves[p + side] = leaf(gs, hs)
+                following.append(p + side)
+        open_ = following
+        if not open_:
+            break
+
+    def built(p: str):
+        return (*splits[p], built(p + "l"), built(p + "r")) if p in splits else leaves[p]
+
+    return built("")
+
+
+def _fit_spread(counted: DataFrame, names: list[str]) -> tuple[str, list[float]]:
+    """fit() over any number of distinct feature rows (fold, names, n, valid)."""
+    rows = written(counted.select("fold", F.struct(*names).alias("c"), F.col("n").cast("double").alias("n"), F.col("valid").cast("double").alias("valid")), "features")
+    fitted = rows.where("NOT fold")
+    n, valid = (x or 0.0 for x in fitted.agg(F.sum("n"), F.sum("valid")).first())
+    bias, trees = (math.log((valid + 1) / (n - valid + 1)), []) if n else (0.0, [])
+    for _ in range(TREES if n else 0):
+        p = F.expr(f"1 / (1 + exp(-({_score_sql(bias, trees, names)})))")
+        trees.append(_grown(fitted.withColumn("p", p).select("c", F.expr("n * p - valid").alias("g"), F.expr("n * p * (1 - p)").alias("h")), names))
+    score = _score_sql(bias, trees, names)
+    # threshold() by cumulated sums of each kind
+    scored = rows.where("fold").select("c.k", F.expr(score).alias("s"), "valid", "n").groupBy("k", "s").agg(F.sum("valid").alias("v"), F.sum("n").alias("n"))
+    order = Window.partitionBy("k").orderBy(F.desc("s"))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    summed = scored.select("k", "s", F.sum("v").over(upto).alias("v"), F.sum("n").over(upto).alias("n"), F.coalesce(F.lead("s").over(order), F.least("s", F.lit(0.0))).alias("below"))
+    best = {r["k"]: r["best"] for r in summed.where(f"v > 0 AND v >= {PRECISION} * n").groupBy("k").agg(F.min(F.expr("(s + below) / 2")).alias("best")).collect()}
+    discard(rows)
+    return score, [max(best.get(k, 1e9), 0.0) for k in range(len(KINDS))]
+
+
 def fit(found: DataFrame) -> tuple[str, list[float]]:
     """SQL of a candidate's score and the threshold of each kind."""
     names = ["k", *FEATURES]
     each = found.select("fold", F.explode(F.concat("tried", "wide")).alias("c")).where("c.label >= 0").select("fold", "c.label", *[f"c.{n}" for n in names])
     counted = each.groupBy("fold", *names).agg(F.count("*").alias("n"), F.sum("label").alias("valid"))
-    got = counted.orderBy(F.desc("n"), "fold", *names).limit(FEATURE_ROWS).collect()
+    got = counted.limit(FEATURE_ROWS + 1).collect()
+    if len(got) > FEATURE_ROWS:
+        return _fit_spread(counted, names)
+    got.sort(key=lambda r: (-r["n"], r["fold"], *[r[n] for n in names]))
     fitted = [r for r in got if not r["fold"]]
     rows = [tuple(r[n] for n in names) for r in fitted]
     bias, trees = boost(rows, [float(r["valid"]) for r in fitted], [float(r["n"]) for r in fitted])
-    score = " + ".join([f"double({bias!r})", *[f"{RATE} * ({_tree_sql(t, names)})" for t in trees]])
     thresholds = []
     for k in range(len(KINDS)):
         mine = [(bias + RATE * sum(_value(t, tuple(r[n] for n in names)) for t in trees), r["valid"], r["n"]) for r in got if r["fold"] and r["k"] == k]
         thresholds.append(threshold(mine))
-    return score, thresholds
+    return _score_sql(bias, trees, names), thresholds
 
 
 def threshold(scored: list[tuple[float, float, float]]) -> float:
@@ -227,8 +295,9 @@ def threshold(scored: list[tuple[float, float, float]]) -> float:
     best, v_sum, n_sum = 1e9, 0.0, 0.0
     for at, (s, v, n) in enumerate(scored):
         v_sum, n_sum = v_sum + v, n_sum + n
-        below = scored[at + 1][0] if at + 1 < len(scored) else 0.0
-        if below < s and v_sum and v_sum >= PRECISION * n_sum:
+        last = at + 1 == len(scored)
+        below = min(s, 0.0) if last else scored[at + 1][0]
+        if (below < s or last) and v_sum and v_sum >= PRECISION * n_sum:
             best = (s + below) / 2
     return max(best, 0.0)
 

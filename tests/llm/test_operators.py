@@ -438,6 +438,25 @@ def test_pii_threshold():
     assert x.threshold([(3.0, 50, 50)]) == 1.5 and x.threshold([(-3.0, 50, 50)]) == 0.0
 
 
+def test_pii_fit_beyond_the_driver(spark, monkeypatch):
+    from codestrata.llm import pii as x
+
+    mail = ["write to jane{k}.doe@mail.example.com now", "look at home{k}. The rest", "call +44 20 7946 0{k:03d} today", "lists 10,20,30,{k} here", "host 10.20.30.{k} up", "version 1.2.3.{k}00 out", "mail j{k}(at)mail.example.com"]
+    docs = docs_of(spark, [mail[k % 7].format(k=k) for k in range(210)])
+    found = x.candidates(docs)
+    here, limits = x.fit(found)
+    spans = {r["doc_id"]: r["spans"] for r in x.found_spans(docs).collect()}
+    monkeypatch.setattr(x, "FEATURE_ROWS", 3)
+    monkeypatch.setattr(x, "TREES", 3)
+    there, few = x.fit(found)
+    monkeypatch.setattr(x, "FEATURE_ROWS", 20_000)
+    near, many = x.fit(found)
+    assert few == pytest.approx(many, rel=1e-6)
+    score = lambda sql: [r[0] for r in found.select("doc_id", F.posexplode(F.concat("tried", "wide")).alias("at", "c")).orderBy("doc_id", "at").select(F.expr(sql)).collect()]
+    assert score(there) == pytest.approx(score(near), rel=1e-6)
+    assert len(spans) == 210 and limits != [1e9] * 4
+
+
 def test_pii_redacts(spark):
     from codestrata.llm import pii as x
 
