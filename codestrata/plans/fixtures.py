@@ -33,11 +33,13 @@ def part_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("owner", F.when(F.col("kind") == "method", lead))
 
 
-def part_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    """GP: parts, with an edge for neighbouring lines of an order."""
+def part_graph(spark: SparkSession, sf_dir: str, min_quantity: int | None = None) -> CodeGraph:
+    """GP: parts, with an edge for neighbouring lines of an order. GPS, for tests on a sparse graph: edges from lines of min_quantity or more;
+    registered queries leave it unset."""
     entities = part_entities(spark, sf_dir)
-    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
-    b = line.select("l_orderkey", F.col("l_partkey").alias("b_part"), (F.col("l_linenumber") - 1).alias("l_linenumber"))
+    rows = read(spark, sf_dir, "lineitem")
+    line = (rows if min_quantity is None else rows.where(F.col("l_quantity") >= min_quantity)).select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
+    b = rows.select("l_orderkey", F.col("l_partkey").alias("b_part"), (F.col("l_linenumber") - 1).alias("l_linenumber"))
     relation = F.when(F.col("l_returnflag") == "A", "import").when(F.col("l_returnflag") == "N", "extends").otherwise("implements")
     pairs = line.join(b, ["l_orderkey", "l_linenumber"]).where("l_partkey <> b_part").select("l_partkey", "b_part", relation.alias("relation")).repartition("l_partkey").distinct()  # one shuffle for both that and the next join
     names = sized(entities.select("p_partkey", "fqn"))
