@@ -376,6 +376,17 @@ def test_queries_match_sql(spark):
         assert rows_of(got) == rows_of(want), name
 
 
+def test_similar_pairs_are_shuffled_once(spark):
+    from codestrata.operators.similarity import similar_pairs
+
+    g = simple(spark, "abcdx", [("a", "x"), ("b", "x"), ("a", "c"), ("b", "c"), ("b", "d"), ("c", "d")])
+    pairs = {(r["a"], r["b"]): r["similarity"] for r in similar_pairs(g.edges, "scm").collect()}
+    # successors: a {x, c}, b {x, c, d}, c {d}; predecessors: x {a, b}, c {a, b}, d {b, c}
+    assert pairs == pytest.approx({("a", "b"): 1 / 3, ("b", "c"): 1 / 6, ("c", "x"): 1 / 2, ("c", "d"): 1 / 6, ("d", "x"): 1 / 6})
+    plan = similar_pairs(g.edges.hint("merge"), "scm")._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().split("Union")[0].count("Join") == 0 and plan.toString().split("Union")[0].count("Aggregate") == 1
+
+
 def test_whole_graph_queries(spark):
     from codestrata.plans import fixtures as fx
     from codestrata.plans.queries import QUERIES
