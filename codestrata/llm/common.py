@@ -106,12 +106,18 @@ def per_worker(key, build: Callable):
     if key not in _KEPT:
         _KEPT.clear()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)  # hand freed memory back
+        pa.default_memory_pool().release_unused()
+        hand_back()
         _KEPT[key] = build()
     return _KEPT[key]
 
 
+def hand_back() -> None:
+    """Give freed memory back to the system: what a worker has freed still counts against its executor."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_types(schema: str) -> list[pa.DataType]:
     """Arrow types of a schema string that uses the few type names below."""
     kinds = {

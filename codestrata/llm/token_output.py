@@ -8,12 +8,12 @@ by its id, the shards whose range holds it are searched by halving the records o
 A reader refuses a dictionary with another hash.
 
 Documents stand in ascending doc_id order (null first, equal ids in the order of the input) within and across shards. They
-are dealt by ranges of (doc_id, place in the input), so rows that share an id are spread over shards like any others; the
-number of shards follows the bytes of all texts. Files are written under a name of the attempt and then
-renamed, so a task that runs again replaces whole files.
+are encoded and compressed where they are read; only their frames are then dealt by ranges of (doc_id, place in the input), so rows that
+share an id are spread over shards like any others and no text is shuffled or sorted. The number of shards follows the bytes of all texts.
+Files are written under a name of the attempt and then renamed, so a task that runs again replaces whole files.
 
-Memory of a worker does not grow with the input: texts are encoded in stretches of about STRETCH bytes, long ones are cut
-where the tokenizer cuts anyway, and remembered pieces are bounded by their bytes (MEMO_PIECES of SHORT bytes).
+Memory of a worker does not grow with the input: texts are encoded in stretches of about STRETCH bytes, after each of which freed memory
+is handed back, long ones are cut where the tokenizer cuts anyway, and remembered pieces are bounded by their bytes (MEMO_PIECES of SHORT bytes).
 
 Defined cases: a null text is encoded as the empty text, so it holds the end id only; an empty table gives a manifest
 without shards; repeated rows are written each; further columns are ignored; ids that don't fit id_bytes are refused before
@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import per_worker, work_folder
+from codestrata.llm.common import discard, hand_back, per_worker, slices, work_folder, written
 
 #: The dictionary is trained on pieces of the id arrays of about SAMPLE_DOCS documents, both chosen by hash, from all places of
 #: whole documents: at most SAMPLE_PIECES pieces of PIECE_IDS ids. Every document is encoded with it.
@@ -49,7 +49,7 @@ LEVEL = 3
 #: Bytes of text of a shard, about.
 SHARD_BYTES = 64 << 20
 #: Bytes of text that are encoded at a time.
-STRETCH = 2 << 20
+STRETCH = 1 << 20
 #: Pieces that a worker remembers, 48 bytes each and 4 for each id (some 32 MB in all); a piece over SHORT bytes is never remembered.
 MEMO_PIECES = 500_000
 SHORT = 23
@@ -326,33 +326,44 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = max(1, -(-size // shard_bytes))
     # the place tells rows of one id apart, so that ranges can part them
-    placed = docs.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(n_shards, "doc_id", "_place")
-    placed = placed.sortWithinPartitions("doc_id", "_place").select("doc_id", "text")
+    placed = docs.select("doc_id", F.monotonically_increasing_id().alias("_place"), "text")
+
+    def compress(batches):
+        encode, pack, since = encoder(tokenizer_path), _compressor(sent.value), 0
+        for batch in batches:
+            for at, ids, bounds in encode.encode(batch.column(2)):
+                n = len(bounds) - 1
+                ids = np.insert(ids, bounds[1:], end_id).astype(f"<u{id_bytes}")
+                bounds = bounds + np.arange(n + 1)
+                view, b = memoryview(ids).cast("B"), (bounds * id_bytes).tolist()
+                made = pa.array([pack.compress(view[x:y]) for x, y in zip(b, b[1:])], pa.binary())
+                keys = batch.slice(at, n)
+                yield pa.RecordBatch.from_arrays([keys.column(0), keys.column(1), pa.array(np.diff(bounds), pa.int64()), made], names=["doc_id", "_place", "n_tokens", "frame"])
+                since += len(ids)
+                if since * 8 >= STRETCH:  # a stretch, or as many short runs
+                    del ids, view, made, keys
+                    hand_back()
+                    since = 0
+
+    frames = written(placed.mapInArrow(compress, "doc_id long, _place long, n_tokens long, frame binary"), "frames")
+    dealt = frames.repartitionByRange(n_shards, "doc_id", "_place").sortWithinPartitions("doc_id", "_place").select("doc_id", "n_tokens", "frame")
 
     def write(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
-        encode, pack = encoder(tokenizer_path), _compressor(sent.value)
         shard, attempt, offset, index, first = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, [], None
         out = None
         for batch in batches:
             if batch.num_rows and out is None:
                 out = fs.open_output_stream(f"{root}/.{attempt}.tok")
-            doc_ids = batch.column(0)
-            null = doc_ids.is_null().to_numpy(zero_copy_only=False)
-            known = pc.fill_null(doc_ids, 0).to_numpy()
-            for at, ids, bounds in encode.encode(batch.column(1)):
-                n = len(bounds) - 1
-                ids = np.insert(ids, bounds[1:], end_id).astype(f"<u{id_bytes}")
-                bounds = bounds + np.arange(n + 1)
-                view, b = memoryview(ids).cast("B"), (bounds * id_bytes).tolist()
-                frames = [pack.compress(view[x:y]) for x, y in zip(b, b[1:])]
-                out.write(b"".join(frames))
-                part = np.empty(n, INDEX)
-                part["doc_id"], part["null"] = known[at : at + n], null[at : at + n]
-                part["length"] = [len(f) for f in frames]
+            for piece in slices([batch]):
+                made = piece.column(2).to_pylist()
+                out.write(b"".join(made))
+                part = np.empty(len(made), INDEX)
+                part["doc_id"], part["null"] = pc.fill_null(piece.column(0), 0).to_numpy(), piece.column(0).is_null().to_numpy(zero_copy_only=False)
+                part["length"] = [len(f) for f in made]
                 part["offset"] = offset + np.cumsum(part["length"], dtype=np.uint64) - part["length"]
-                part["n_tokens"] = np.diff(bounds)
-                offset += int(part["length"].sum())
+                part["n_tokens"] = piece.column(1).to_numpy()
+                offset += int(part["length"].sum(dtype=np.uint64))
                 index.append(part)
         if out is not None:
             out.close()
@@ -362,10 +373,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
             for kind in ("tok", "idx"):
                 fs.move(f"{root}/.{attempt}.{kind}", f"{root}/shard-{shard:06d}.{kind}")
             first, last = ([None if index["null"][k] else int(index["doc_id"][k])] for k in (0, -1))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([shard], [len(index)], [int(index["n_tokens"].sum())], first, last), (pa.int32(), *[pa.int64()] * 4))], names=["shard", "docs", "ids", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([shard], [len(index)], [int(index["n_tokens"].sum(dtype=np.int64))], first, last), (pa.int32(), *[pa.int64()] * 4))], names=["shard", "docs", "ids", "first", "last"])
 
     # one row per shard
-    done = placed.mapInArrow(write, "shard int, docs long, ids long, first long, last long").collect()
+    done = dealt.mapInArrow(write, "shard int, docs long, ids long, first long, last long").collect()
+    discard(frames)
     before, shards = 0, []
     for r in sorted(done, key=lambda r: r["shard"]):
         shards.append(r.asDict() | {"start": before})

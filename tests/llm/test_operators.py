@@ -144,6 +144,17 @@ def test_token_files_round_trip(spark, tmp_path, monkeypatch):
         x.read_tokens(spark, folder)
 
 
+def test_token_files_shuffle_frames_instead_of_texts(spark, tmp_path, monkeypatch):
+    from codestrata.llm import token_output as x
+
+    docs, dealt = docs_of(spark, [*ODD, *[prose(50) for _ in range(40)]]), []
+    plain = type(docs).repartitionByRange
+    monkeypatch.setattr(type(docs), "repartitionByRange", lambda self, *a: (dealt.append(self.columns), plain(self, *a))[1])
+    x.write_tokens(docs, "file://" + str(tmp_path / "t"), public_tokenizers.path("byte_bpe_50k.json"), 2, shard_bytes=2_000)
+    assert dealt and all("text" not in columns for columns in dealt)
+    assert [f.name for f in (tmp_path / "t").iterdir() if f.name.startswith(".") and not f.name.endswith(".crc")] == []
+
+
 def test_token_ids_wider_than_two_bytes(spark, tmp_path):
     from codestrata.llm import token_output as x
 
