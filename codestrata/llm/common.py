@@ -21,6 +21,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a key table that may be sent to every executor (8-byte keys: some 30 MB as a hash relation).
 BROADCAST_ROWS = 500_000
 
+#: Spark's setting that a finished query removes its own shuffle files.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, the folder that driver and executors share.
@@ -37,10 +40,16 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame written as Parquet into the shared folder and read again: cuts lineage, survives lost executors."""
+    """The frame written as Parquet into the shared folder and read again: cuts lineage, survives lost executors. Shuffle files of
+    the write go with it, as nothing reads them again; else they stay until the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._codestrata_path = path
     return out

@@ -149,11 +149,14 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
         return step
 
-    rows = written(map_rows(docs, start, "doc_id long, cid binary, n int, given array<long>", rows=128), "sets")
-    classes = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("min_doc"), F.first("n").alias("n"), F.first("given").alias("given"))
-    classes = written(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
+    sets = written(map_rows(docs, start, "doc_id long, cid binary, n int, given array<long>", rows=128), "sets")
+    classes = sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("min_doc"), F.first("n").alias("n"), F.first("given").alias("given"))
+    giving = written(classes.withColumn("rid", F.monotonically_increasing_id()), "giving")
+    # the shingles are most of the bytes: rows and classes go on without them, and those of the classes only until they are posted
+    rows, classes = written(sets.select("doc_id", "cid", "n"), "rows"), written(giving.drop("given"), "classes")
+    discard(sets)
 
-    links = _links(docs, classes, words, num, den)
+    links = _links(docs, classes, giving, words, num, den)
     labels = connected(links)
     of_class = classes.select("rid", "cid", "min_doc").join(labels, classes["rid"] == labels["node"], "left").withColumn("label", F.coalesce("label", "rid"))
     smallest = of_class.groupBy("label").agg(F.min("min_doc").alias("component_id"))
@@ -162,11 +165,12 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return out.select("doc_id", "cid", "label", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _links(docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Verified links (a, b) of classes, enough to connect all that link."""
-    tokens = classes.select("rid", "n", F.posexplode("given").alias("pos", "h"))
+def _links(docs: DataFrame, classes: DataFrame, giving: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Verified links (a, b) of classes, enough to connect all that link. giving has the shingles that they give; it is deleted once they are posted."""
+    tokens = giving.select("rid", "n", F.posexplode("given").alias("pos", "h"))
     shared = written(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "df")
     posts = written(tokens.join(shared, "h"), "posts")
+    discard(giving)
 
     # where each prefix ends once the frequent shingles before its end are passed over
     n = F.col("n")

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -374,6 +375,32 @@ def test_components_of_chains(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
+def test_ngram_join_keeps_no_shingles_and_no_shuffle_files(spark, tmp_path, monkeypatch):
+    """Once links are verified, the tables of given shingles are gone; a written table leaves no shuffle files behind."""
+    from codestrata.llm import common, ngram_join as x
+
+    base = tmp_path / "shared"
+    monkeypatch.setattr(common, "work_folder", lambda spark: f"file://{base}/{len(list(base.glob('*')))}-{random.random()}")
+    texts = [prose(40) for _ in range(10)]
+    assert len(x.components(docs_of(spark, [*texts, *[t + " more" for t in texts]])).collect()) == 20
+    left = [p.parent for p in base.glob("*/*/*.parquet")]
+    assert left and not any("given" in spark.read.parquet(f"file://{p}").columns for p in set(left))
+
+    def shuffled():
+        return {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f and f.endswith(".data")}
+
+    before = shuffled()
+    kept = spark.range(1000).groupBy(F.col("id") % 10).count()
+    assert kept.count() == 10 and shuffled() - before  # others' files stay
+    before = shuffled()
+    common.written(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "sums")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------------
 
 PLAIN = {
